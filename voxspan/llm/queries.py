@@ -10,12 +10,39 @@ from pyspark.sql import functions as F
 from .common import table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import THRESHOLD, held_out, score, train
+
+    docs = table(spark, sf_dir, "documents")
+    model = train(docs, table(spark, sf_dir, "labels").where(~held_out()))
+    out = score(docs, model).withColumn("held_out", held_out())
+    return out.select("doc_id", "held_out", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "n_windows")
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minhash import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"), k=4)
 
 
+def vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op7_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack, token_pieces
+
+    return pack(token_pieces(table(spark, sf_dir, "documents"), vocabulary()))
+
+
+def op10_segment_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bpe import digests
+
+    return digests(table(spark, sf_dir, "documents"), vocabulary())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
