@@ -37,6 +37,15 @@ def op7_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(token_pieces(table(spark, sf_dir, "documents"), vocabulary()))
 
 
+def op9_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm import scores
+    from .toxicity import held_out
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("training", ~held_out(folds=7, own=2))
+    out = scores(docs).withColumn("held_out", held_out(folds=7, own=2))
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
 def op10_segment_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import digests
 
