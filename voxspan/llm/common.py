@@ -101,14 +101,16 @@ def chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int,
         lo = min(hi, n)
 
 
-def split_words(data: np.ndarray, offsets: np.ndarray, blank: np.ndarray = BLANK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end byte of each word, and the number of words before each row (rows + 1 entries)."""
+def split_words(data: np.ndarray, offsets: np.ndarray, blank: np.ndarray = BLANK, cuts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end byte of each word, and the number of words before each row (rows + 1 entries). cuts: where words are cut besides."""
     n = len(data)
     if n == 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
     inside = ~blank[data]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
+    if cuts is not None:
+        edge[cuts] = True
     before = np.empty(n, bool)
     before[0], before[1:] = False, inside[:-1]
     starts = np.flatnonzero(inside & (~before | edge[:-1]))
