@@ -20,10 +20,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import BLANK, hash_spans, split_words
+
 #: The characters that the pattern engine's \s matches (Unicode White_Space).
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_CHUNK = regex.compile(f"[^{SPACE}]+")
-_ODD = regex.compile("[\x1c-\x1f]")
 #: Trees of at most so many leaves run side by side; a cache generation holds so many words.
 SIDE_BY_SIDE, CACHE_WORDS = 128, 250_000
 NONE = np.int64(1) << np.int64(62)
@@ -201,32 +201,56 @@ def merge_words(v: Vocabulary, words: list[bytes]) -> list[np.ndarray]:
     return out
 
 
+_ALNUM = np.zeros(256, bool)
+_ALNUM[48:58] = _ALNUM[97:123] = True
+
+
 class ChunkCache:
-    """Ids, as little-endian uint32 bytes, of pieces between white space; two generations of bounded size."""
+    """Ids, as little-endian uint32 bytes, of pieces between white space; two generations of bounded size.
+
+    A full stop or comma between a letter or digit and white space is a piece of its own. Pieces are known by a 64-bit hash.
+    """
 
     def __init__(self, encode):
         self.encode, self.young, self.old = encode, {}, {}
 
-    def texts(self, texts: list[list[str]]) -> list[bytes]:
-        """texts: each as its pieces."""
-        young, old = self.young, self.old
-        need = set().union(*texts).difference(young)
-        fresh = []
-        for c in need:
-            if (got := old.get(c)) is None:
-                fresh.append(c)
-            else:
-                young[c] = got
-        if fresh:
-            young.update(zip(fresh, self.encode(fresh), strict=True))
-        out = [b"".join(map(young.__getitem__, t)) for t in texts]
-        if len(young) > CACHE_WORDS:
-            self.old, self.young = young, {}
-        return out
-
-
-def pieces(text: str) -> list[str]:
-    return text.split() if not _ODD.search(text) else _CHUNK.findall(text)
+    def texts(self, texts: list[str]) -> list[bytes]:
+        """texts: normalized."""
+        raw = [t.encode() for t in texts]
+        whole = b"".join(raw)
+        data = np.frombuffer(whole, np.uint8)
+        offsets = np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
+        if not len(data):
+            return [b""] * len(texts)
+        stop = np.flatnonzero((data == 46) | (data == 44))
+        ends_there = np.append(BLANK[data], True)
+        ends_there[offsets[1:]] = True
+        stop = stop[ends_there[stop + 1] & (stop > 0) & _ALNUM[data[np.maximum(stop - 1, 0)]]]
+        starts, ends, first = split_words(data, offsets, cuts=stop)
+        u, at, of = np.unique(hash_spans(data, starts, ends), return_index=True, return_inverse=True)
+        young, keys = self.young, u.tolist()
+        got = list(map(young.get, keys))
+        missed = [i for i, x in enumerate(got) if x is None]
+        if missed:
+            fresh = []
+            for i in missed:
+                got[i] = self.old.get(keys[i])
+                if got[i] is None:
+                    fresh.append(i)
+            made = self.encode([whole[a:b].decode() for a, b in zip(starts[at[fresh]].tolist(), ends[at[fresh]].tolist(), strict=True)]) if fresh else []
+            for i, x in zip(fresh, made, strict=True):
+                got[i] = x
+            young.update((keys[i], got[i]) for i in missed)
+            if len(young) > CACHE_WORDS:
+                self.old, self.young = young, {}
+        lens = np.fromiter(map(len, got), np.int64, len(got)) // 4
+        flat = np.frombuffer(b"".join(got), "<u4")
+        begin = (np.cumsum(lens) - lens)[of]
+        n = lens[of]
+        out_at = np.concatenate([[0], np.cumsum(n)])
+        ids = flat[np.arange(int(out_at[-1])) - np.repeat(out_at[:-1], n) + np.repeat(begin, n)].tobytes()
+        cut = (4 * out_at[first]).tolist()
+        return [ids[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
 
 class Encoder:
@@ -244,11 +268,11 @@ class Encoder:
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         special = [i for i, t in enumerate(texts) if "<" in t and self.v.split_special and self.v.split_special.search(t)]
-        out = self.cache.texts([pieces(normalized(t)) for t in texts])
+        out = self.cache.texts([normalized(t) for t in texts])
         for i in special:
             made = []
             for part in self.v.split_special.split(texts[i]):
-                made.append(np.array([self.v.special[part]], "<u4").tobytes() if part in self.v.special else self.cache.texts([pieces(normalized(part))])[0])
+                made.append(np.array([self.v.special[part]], "<u4").tobytes() if part in self.v.special else self.cache.texts([normalized(part)])[0])
             out[i] = b"".join(made)
         return out
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import ChunkCache, normalized, pieces, text_slices
+from .bpe import ChunkCache, normalized, text_slices
 from .common import U64, mixed, run_groups, staged
 
 SEQUENCE, BLOCK_PIECES, END_ID, LATE = 4096, 32_768, 1, 0.15
@@ -38,14 +38,29 @@ class _Library:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.cache = ChunkCache(self.encode)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def encode(self, chunks: list[str]) -> list[bytes]:
+        """Words of letters alone are encoded in one text, which costs less than one by one."""
+        out: list[bytes | None] = [None] * len(chunks)
+        plain = [i for i, c in enumerate(chunks) if c.isascii() and c.isalpha() or c.isalpha() and c.islower()]
+        for lo in range(0, len(plain), 4096):
+            own = plain[lo : lo + 4096]
+            e = self.tokenizer.encode(" ".join([chunks[i] for i in own]), add_special_tokens=False)
+            word = np.array(e.word_ids)
+            if int(word[-1]) + 1 != len(own):  # a word that the pattern cuts
+                continue
+            ids, cut = np.array(e.ids, "<u4").tobytes(), (4 * np.searchsorted(word, np.arange(len(own) + 1))).tolist()
+            for k, i in enumerate(own):
+                out[i] = ids[cut[k] : cut[k + 1]]
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, e in zip(rest, self.tokenizer.encode_batch_fast([chunks[i] for i in rest], add_special_tokens=False), strict=True):
+            out[i] = np.array(e.ids, "<u4").tobytes()
+        return out
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
-        out = self.cache.texts([pieces(normalized(t)) for t in texts])
+        out = self.cache.texts([normalized(t) for t in texts])
         for i, t in enumerate(texts):
-            if "<" in t and any(s in t or s in t.lower() for s in self.special):  # a special token may join its neighbours' white space
-                out[i] = self.encode([t])[0]
+            if "<" in t and any(s in t or s in t.lower() for s in self.special):  # what looks like a special token, before or after normalization
+                out[i] = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
         return out
 
 
