@@ -41,6 +41,18 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_digests(format_records(records.unionByName(own)))
 
 
+def op4_spherical_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .caps import link
+
+    return link(table(spark, sf_dir, "embeddings"))
+
+
+def op5_kd_tree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op6_hypergeometric_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shard_documents
 
