@@ -325,17 +325,25 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS, chars: int
     return fit([r["text"] for r in rows], np.array([min(1, max(0, r["toxic"])) for r in rows]))
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, score, n_windows of every document."""
+def score(docs: DataFrame, model: Model, keep: bool = False) -> DataFrame:
+    """doc_id, score, n_windows of every document. With keep: all of its columns, and the score as toxicity_score (a column of that name is replaced)."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
+    if keep:
+        rows = docs.drop("toxicity_score").withColumn("text", F.col("text").cast("string"))
+        schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), "toxicity_score double"])
+    else:
+        rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+        schema = "doc_id long, score double, n_windows long"
+    names = [*rows.columns, "toxicity_score"] if keep else ["doc_id", "score", "n_windows"]
 
     def run(batches):
         m = sent.value
         for batch, data, offsets in batches_of("text")(batches):
             s, n = m.scores(data, offsets)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s.astype(np.float64)), pa.array(n.astype(np.int64))], names=["doc_id", "score", "n_windows"])
+            made = pa.array(s.astype(np.float64))
+            yield pa.RecordBatch.from_arrays([*batch.columns, made] if keep else [batch.column(0), made, pa.array(n.astype(np.int64))], names=names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double, n_windows long")
+    return rows.mapInArrow(run, schema)
 
 
 def held_out(doc_id: str = "doc_id", folds: int = 3, own: int = 1):
