@@ -20,9 +20,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import text_slices
-from .common import U64, mixed, random_odd, staged
+from .common import U64, block_pairs, mixed, random_odd, run_groups, staged
 
-TAU, MIN_CHARS = 2, 20
+TAU, MIN_CHARS, BLOCK_LINES = 2, 20, 1024
 #: Up to so many rows of candidate hashes, or bytes of line numbers, are sent to all tasks; more are joined by a shuffle.
 SEND_ROWS, SEND_BYTES = 500_000, 48_000_000
 
@@ -107,8 +107,12 @@ def within(a: list[str], b: list[str], tau: int) -> np.ndarray:
     l1, l2 = np.array([len(x) for x in longer]), np.array([len(x) for x in shorter])
     out = np.zeros(n, bool)
     order = np.argsort(l1, kind="stable")
-    for lo in range(0, n, 2048):
-        rows = order[lo : lo + 2048]
+    lo = 0
+    while lo < n:  # shorter pairs first; a batch is bounded in cells
+        hi = min(n, lo + 2048)
+        while hi - lo > 1 and (hi - lo) * l1[order[hi - 1]] > 2_000_000:
+            hi = lo + (hi - lo) // 2
+        rows, lo = order[lo:hi], hi
         m1, m2 = l1[rows], l2[rows]
         width = int(m1.max(initial=0)) + 2 * tau + 1
         p = np.full((len(rows), width + tau), 0xFFFFFFFF, np.uint32)
@@ -191,32 +195,69 @@ def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return every.join(F.broadcast(wanted) if few else wanted, "h").groupBy("h").agg(F.min("said").alias("said"))
 
 
-def near_lines(docs: DataFrame, classes: DataFrame, tau: int) -> DataFrame:
-    """a, b: hashes of distinct lines within tau of each other, a < b."""
-    post, probe = posted(classes, tau, False), posted(classes, tau, True)
-    met = probe.join(post.withColumnRenamed("h", "g").hint("shuffle_hash"), "key").where("h <> g").select(F.least("h", "g").alias("a"), F.greatest("h", "g").alias("b")).distinct()
-    met = staged(met, "lines-met")
-    wanted = met.select(F.col("a").alias("h")).union(met.select("b")).distinct()
-    said = staged(_texts_of(docs, wanted), "lines-said")
-    pairs = met.join(said.select(F.col("h").alias("a"), F.col("said").alias("x")), "a").join(said.select(F.col("h").alias("b"), F.col("said").alias("y")), "b")
+def later_of(said: list[str], posts: np.ndarray, side: np.ndarray | None, tau: int) -> np.ndarray:
+    """Whether each line has one before it within tau, one of the two being posted and, with sides, both from different ones."""
+    n = len(said)
+    length = np.array([len(x) for x in said])
+    goes = np.zeros(n, bool)
+    ahead = np.zeros(n, np.int64)  # the next earlier line to compare with
+    while True:
+        pairs_i, pairs_j = [], []
+        for j in np.flatnonzero(~goes & (ahead < np.arange(n))):
+            k = np.arange(ahead[j], min(j, ahead[j] + 4 + ahead[j]))  # more at a time, the longer it takes
+            ahead[j] = k[-1] + 1
+            ok = (np.abs(length[k] - length[j]) <= tau) & (posts[k] | posts[j])
+            if side is not None:
+                ok &= side[k] != side[j]
+            k = k[ok]
+            pairs_i.append(k)
+            pairs_j.append(np.full(len(k), j))
+        if not pairs_i:
+            return goes
+        i, j = np.concatenate(pairs_i), np.concatenate(pairs_j)
+        for lo in range(0, len(i), 16_384):
+            a, b = i[lo : lo + 16_384], j[lo : lo + 16_384]
+            goes[b[within([said[x] for x in a], [said[x] for x in b], tau)]] = True
 
-    def check(batches):
-        for batch in batches:
-            ok = pa.array(within(batch.column(2).to_pylist(), batch.column(3).to_pylist(), tau))
-            yield pa.RecordBatch.from_arrays([batch.column(i).filter(ok) for i in (0, 1)], names=["a", "b"])
 
-    return pairs.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+def near_lines(docs: DataFrame, classes: DataFrame, tau: int) -> DataFrame:
+    """h of the distinct lines that have a line within tau whose first occurrence is earlier.
+
+    Keys that one line alone has are left out first. What is left meets by key, in pairs of bounded blocks with the lines
+    themselves, and a block gives a row for each line at most.
+    """
+    post, probe = posted(classes, tau, False), posted(classes, tau, True)
+    other = post.select(F.col("key").alias("own"), F.col("h").alias("g")).hint("shuffle_hash")
+    found = staged(probe.join(other, (F.col("key") == F.col("own")) & (F.col("h") != F.col("g")), "left_semi").distinct(), "lines-met")
+    keys = staged(found.select(F.col("key").alias("own")).distinct(), "lines-keys")
+    few = keys.count() <= SEND_ROWS
+    met = found.withColumn("post", F.lit(False)).union(post.join(F.broadcast(keys) if few else keys, F.col("key") == F.col("own"), "left_semi").withColumn("post", F.lit(True)))
+    met = staged(met.groupBy("key", "h").agg(F.max("post").alias("post")), "lines-meeting")
+    wanted = staged(met.select("h").distinct(), "lines-wanted")
+    said = _texts_of(docs, wanted).join(classes.select("h", F.col("first.doc_id").alias("doc_id"), F.col("first.line").alias("line")), "h")
+    crowd = met.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK_LINES).alias("blocks"))
+    entries = met.join(crowd, "key").join(said, "h")
+    dealt = block_pairs(entries, ["key"], "h", "blocks").select("key", "lo", "hi", "side", "h", "post", "doc_id", "line", "said")
+
+    def check(group: pa.Table) -> pa.Table | None:
+        if group.num_rows < 2:
+            return None
+        # nulls come before all other doc_ids; two lines cannot stand at one place, but rows with equal doc_id can: then the smaller hash stays
+        group = group.sort_by([("line", "ascending"), ("h", "ascending")])
+        ids = group["doc_id"].fill_null(np.iinfo(np.int64).min).to_numpy()
+        group = group.take(pa.array(np.argsort(ids, kind="stable")))
+        side = group["side"].to_numpy() if group["lo"][0].as_py() != group["hi"][0].as_py() else None
+        goes = later_of(group["said"].to_pylist(), group["post"].to_numpy(), side, tau)
+        return pa.table({"h": group["h"].to_numpy()[goes]}) if goes.any() else None
+
+    return run_groups(dealt, ["key", "lo", "hi"], check, "h long").distinct()
 
 
 def removed_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -> DataFrame:
     """doc_id, line, h of every line that goes."""
     lines = staged(line_rows(docs, tau, min_chars), "lines")
     classes = staged(lines.groupBy("h").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count(F.lit(1)).alias("times"), F.max("keys").alias("keys")), "lines-classes")
-    near = near_lines(docs, classes, tau)
-    first = classes.select("h", "first")
-    near = near.join(first.select(F.col("h").alias("a"), F.col("first").alias("fa")), "a").join(first.select(F.col("h").alias("b"), F.col("first").alias("fb")), "b")
-    # ties of place: two lines cannot stand at one place, but rows with equal doc_id can; then the smaller hash stays
-    later = near.select(F.when(F.struct("fa", "a") > F.struct("fb", "b"), F.col("a")).otherwise(F.col("b")).alias("h")).distinct().withColumn("goes", F.lit(True))
+    later = near_lines(docs, classes, tau).withColumn("goes", F.lit(True))
     touched = classes.select("h", "first", "times").join(later, "h", "left").where("times > 1 or goes")
     found = lines.select("doc_id", "line", "h").join(touched, "h")
     return found.where(F.coalesce("goes", F.lit(False)) | ~F.struct("doc_id", "line").eqNullSafe(F.col("first"))).select("doc_id", "line", "h").distinct()
@@ -228,6 +269,7 @@ def dedup_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) ->
     gone = staged(gone.withColumnRenamed("doc_id", "_gone_of"), "lines-gone")
     size = gone.agg(F.sum(F.size("_gone") * 24 + 32)).first()[0] or 0
     joined = docs.join(F.broadcast(gone) if size <= SEND_BYTES else gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_gone_of")), "left").drop("_gone_of")
+    joined = joined.drop("n_lines", "n_removed")  # columns of these names are replaced
     names = joined.columns
     text_at, gone_at = names.index("text"), names.index("_gone")
     passed = [i for i, c in enumerate(names) if c not in ("text", "_gone")]

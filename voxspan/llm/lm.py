@@ -19,6 +19,7 @@ scores; a table without training rows scores with untrained weights; other colum
 from __future__ import annotations
 
 import math
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -274,6 +275,13 @@ class Mixer:
     seen: np.ndarray
     heavy: float
 
+    def __getstate__(self):  # most slots are empty on small inputs
+        return self.__dict__ | {"counts": (zlib.compress(self.counts.tobytes(), 1), self.counts.shape)}
+
+    def __setstate__(self, state):
+        packed, shape = state["counts"]
+        self.__dict__.update(state | {"counts": np.frombuffer(zlib.decompress(packed), np.uint16).reshape(shape)})
+
 
 def new_mixer(counts: np.ndarray, heavy: float) -> Mixer:
     # more weight on the whole word, the more of it has been seen; by level of the whole word, then of the last five bytes
