@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .bpe import text_slices
 from .common import U64, block_pairs, mixed, random_odd, run_groups, staged
 
-TAU, MIN_CHARS, BLOCK_LINES = 2, 20, 1024
+TAU, MIN_CHARS, FEW_LINES, BLOCK_LINES = 2, 20, 24, 1024
 #: Up to so many rows of candidate hashes, or bytes of line numbers, are sent to all tasks; more are joined by a shuffle.
 SEND_ROWS, SEND_BYTES = 500_000, 48_000_000
 
@@ -223,8 +223,7 @@ def later_of(said: list[str], posts: np.ndarray, side: np.ndarray | None, tau: i
 def near_lines(docs: DataFrame, classes: DataFrame, tau: int) -> DataFrame:
     """h of the distinct lines that have a line within tau whose first occurrence is earlier.
 
-    Keys that one line alone has are left out first. What is left meets by key, in pairs of bounded blocks with the lines
-    themselves, and a block gives a row for each line at most.
+    Keys that one line alone has are left out first.
     """
     post, probe = posted(classes, tau, False), posted(classes, tau, True)
     other = post.select(F.col("key").alias("own"), F.col("h").alias("g")).hint("shuffle_hash")
@@ -234,9 +233,33 @@ def near_lines(docs: DataFrame, classes: DataFrame, tau: int) -> DataFrame:
     met = found.withColumn("post", F.lit(False)).union(post.join(F.broadcast(keys) if few else keys, F.col("key") == F.col("own"), "left_semi").withColumn("post", F.lit(True)))
     met = staged(met.groupBy("key", "h").agg(F.max("post").alias("post")), "lines-meeting")
     wanted = staged(met.select("h").distinct(), "lines-wanted")
-    said = _texts_of(docs, wanted).join(classes.select("h", F.col("first.doc_id").alias("doc_id"), F.col("first.line").alias("line")), "h")
-    crowd = met.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK_LINES).alias("blocks"))
-    entries = met.join(crowd, "key").join(said, "h")
+    first = classes.select("h", F.col("first.doc_id").alias("doc_id"), F.col("first.line").alias("line"))
+    said = staged(_texts_of(docs, wanted).join(first, "h"), "lines-said")
+    crowd = met.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    met = met.join(crowd, "key")
+    return few_lines(met, said, tau).union(many_lines(met, said, tau)).distinct()
+
+
+def few_lines(met: DataFrame, said: DataFrame, tau: int) -> DataFrame:
+    """h of the later lines, from keys with few lines: their pairs are compared once each, in large batches."""
+    groups = met.where(F.col("n") <= FEW_LINES).groupBy("key").agg(F.collect_list(F.struct("h", "post")).alias("x"))
+    pairs = groups.select("x", F.posexplode("x").alias("i", "a")).select("a", F.explode(F.expr(f"slice(x, i + 2, {FEW_LINES})")).alias("b")).where("a.post or b.post")
+    pairs = pairs.select(F.least("a.h", "b.h").alias("ha"), F.greatest("a.h", "b.h").alias("hb")).distinct()
+    for e in "ab":
+        pairs = pairs.join(said.select(F.col("h").alias(f"h{e}"), F.col("said").alias(f"said_{e}"), F.struct("doc_id", "line", "h").alias(f"at_{e}")), f"h{e}")
+    pairs = pairs.select(F.when(F.col("at_a") > F.col("at_b"), F.col("ha")).otherwise(F.col("hb")).alias("h"), "said_a", "said_b")
+
+    def check(batches):
+        for batch in batches:
+            ok = pa.array(within(batch.column(1).to_pylist(), batch.column(2).to_pylist(), tau))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok)], names=["h"])
+
+    return pairs.mapInArrow(check, "h long")
+
+
+def many_lines(met: DataFrame, said: DataFrame, tau: int) -> DataFrame:
+    """h of the later lines, from keys with many lines: in pairs of blocks, which give a row for each line at most."""
+    entries = met.where(F.col("n") > FEW_LINES).select("key", "h", "post", F.ceil(F.col("n") / BLOCK_LINES).alias("blocks")).join(said, "h")
     dealt = block_pairs(entries, ["key"], "h", "blocks").select("key", "lo", "hi", "side", "h", "post", "doc_id", "line", "said")
 
     def check(group: pa.Table) -> pa.Table | None:
@@ -250,7 +273,7 @@ def near_lines(docs: DataFrame, classes: DataFrame, tau: int) -> DataFrame:
         goes = later_of(group["said"].to_pylist(), group["post"].to_numpy(), side, tau)
         return pa.table({"h": group["h"].to_numpy()[goes]}) if goes.any() else None
 
-    return run_groups(dealt, ["key", "lo", "hi"], check, "h long").distinct()
+    return run_groups(dealt, ["key", "lo", "hi"], check, "h long")
 
 
 def removed_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -> DataFrame:
