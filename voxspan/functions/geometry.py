@@ -100,13 +100,13 @@ def cell_code(depth: int):
 
 
 def cell_candidates(depth: int):
-    """Like cell_code, but all cells that a point on cuts may belong to, the upper halves first."""
+    """Like cell_code, but all cells that a point on cuts may belong to: that of the upper halves, then the others by octant."""
 
     @pandas_udf("array<long>")
     def codes(x: pd.Series, y: pd.Series, z: pd.Series, ax: pd.Series, ay: pd.Series, az: pd.Series, bx: pd.Series, by: pd.Series, bz: pd.Series) -> pd.Series:
         f = [s.to_numpy(np.float32) for s in (x, y, z, ax, ay, az, bx, by, bz)]
         both = [[_halves(f[i], f[3 + i], f[6 + i], depth, upper) for upper in (True, False)] for i in range(3)]
-        every = np.stack([_interleave([both[0][k & 1], both[1][k >> 1 & 1], both[2][k >> 2]], depth) for k in range(8)], 1)
+        every = np.stack([_interleave([both[i][0 if k >> i & 1 else 1] for i in range(3)], depth) for k in (7, *range(7))], 1)
         return pd.Series([list(dict.fromkeys(row)) for row in every.tolist()])
 
     return codes

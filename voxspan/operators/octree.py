@@ -160,17 +160,22 @@ def with_morton(tree: DataFrame, cfg: OctreeConfig) -> DataFrame:
     return tree.withColumn("morton_code", morton(F.col("depth"), cfg.max_depth, centre))
 
 
-@pandas_udf("e0 double, e1 double, e2 double, nx double, ny double, nz double")
-def _eigen(xx: pd.Series, yy: pd.Series, zz: pd.Series, xy: pd.Series, xz: pd.Series, yz: pd.Series) -> pd.DataFrame:
-    m = np.zeros((len(xx), 3, 3))
-    for (i, j), s in zip(((0, 0), (1, 1), (2, 2), (0, 1), (0, 2), (1, 2)), (xx, yy, zz, xy, xz, yz), strict=True):
-        m[:, i, j] = m[:, j, i] = s.fillna(0).to_numpy()
-    values, vectors = np.linalg.eigh(m)
-    normal = vectors[:, :, 0]
-    # the sign that makes z, or else y, or else x positive
-    lead = np.where(np.abs(normal[:, 2]) > 1e-12, normal[:, 2], np.where(np.abs(normal[:, 1]) > 1e-12, normal[:, 1], normal[:, 0]))
-    normal = normal * np.where(lead < 0, -1.0, 1.0)[:, None]
-    return pd.DataFrame(np.concatenate([np.maximum(values, 0), normal], 1), columns=["e0", "e1", "e2", "nx", "ny", "nz"])
+def eigen():
+    """A column function (six second moments) -> eigenvalues, smallest first, and the direction of the smallest."""
+
+    @pandas_udf("e0 double, e1 double, e2 double, nx double, ny double, nz double")
+    def _eigen(xx: pd.Series, yy: pd.Series, zz: pd.Series, xy: pd.Series, xz: pd.Series, yz: pd.Series) -> pd.DataFrame:
+        m = np.zeros((len(xx), 3, 3))
+        for (i, j), s in zip(((0, 0), (1, 1), (2, 2), (0, 1), (0, 2), (1, 2)), (xx, yy, zz, xy, xz, yz), strict=True):
+            m[:, i, j] = m[:, j, i] = s.fillna(0).to_numpy()
+        values, vectors = np.linalg.eigh(m)
+        normal = vectors[:, :, 0]
+        # the sign that makes z, or else y, or else x positive
+        lead = np.where(np.abs(normal[:, 2]) > 1e-12, normal[:, 2], np.where(np.abs(normal[:, 1]) > 1e-12, normal[:, 1], normal[:, 0]))
+        normal = normal * np.where(lead < 0, -1.0, 1.0)[:, None]
+        return pd.DataFrame(np.concatenate([np.maximum(values, 0), normal], 1), columns=["e0", "e1", "e2", "nx", "ny", "nz"])
+
+    return _eigen
 
 
 def pca(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -185,7 +190,7 @@ def pca(rows: DataFrame, keys: list[str]) -> DataFrame:
         F.var_pop(x).alias("xx"), F.var_pop(y).alias("yy"), F.var_pop(z).alias("zz"),
         F.covar_pop(x, y).alias("xy"), F.covar_pop(x, z).alias("xz"), F.covar_pop(y, z).alias("yz"),
     )
-    out = moments.withColumn("g", _eigen("xx", "yy", "zz", "xy", "xz", "yz")).select(*keys, "n", *[f"centroid_{a}" for a in AXES], "g.*")
+    out = moments.withColumn("g", eigen()("xx", "yy", "zz", "xy", "xz", "yz")).select(*keys, "n", *[f"centroid_{a}" for a in AXES], "g.*")
     enough = F.col("n") >= 3
     total = F.col("e0") + F.col("e1") + F.col("e2")
     shaped = enough & (total >= 1e-8) & (F.col("e2") >= 1e-8)

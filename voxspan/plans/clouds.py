@@ -48,6 +48,13 @@ def encode_sql(points: str, roots: str, depth: int) -> str:
  UNION ALL SELECT e.frame_id, e.id, e.x, e.y, e.z, e.depth + 1, e.path * 8 + {code}, {cut} FROM enc e WHERE e.depth < {depth}"""
 
 
+def held_order_sql(px: str, py: str, pz: str, leaf: str = "l") -> str:
+    """The leaf that holds a point on cuts: that of the upper halves, then by octant."""
+    upper = [f"({p} < {leaf}.max_{a})" for p, a in zip((px, py, pz), AXES, strict=True)]
+    octant = " + ".join(f"{1 << i} * CAST({u} AS INTEGER)" for i, u in enumerate(upper))
+    return f"({' AND '.join(upper)}) DESC, {octant}, {leaf}.depth"
+
+
 def size_sql(prefix: str = "") -> str:
     return "greatest(" + ", ".join(f"CAST({prefix}max_{a} AS DOUBLE) - CAST({prefix}min_{a} AS DOUBLE)" for a in AXES) + ")"
 
@@ -200,7 +207,7 @@ def point_in_leaf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 POINT_IN_LEAF = octree_sql(LINEITEM, SHALLOW) + f""", asked AS (SELECT frame_id AS event_id, CAST(frame_id % 7 + 1995 AS INTEGER) AS frame_id, x, y, z FROM ({_FRAMES})),
-hit AS (SELECT a.event_id, l.depth, l.path, l.n, row_number() OVER (PARTITION BY a.event_id ORDER BY l.min_x = a.x DESC, l.min_y = a.y DESC, l.min_z = a.z DESC, l.depth) AS k FROM asked a JOIN leaf l ON a.frame_id = l.frame_id AND a.x BETWEEN l.min_x AND l.max_x AND a.y BETWEEN l.min_y AND l.max_y AND a.z BETWEEN l.min_z AND l.max_z)
+hit AS (SELECT a.event_id, l.depth, l.path, l.n, row_number() OVER (PARTITION BY a.event_id ORDER BY {held_order_sql('a.x', 'a.y', 'a.z')}) AS k FROM asked a JOIN leaf l ON a.frame_id = l.frame_id AND a.x BETWEEN l.min_x AND l.max_x AND a.y BETWEEN l.min_y AND l.max_y AND a.z BETWEEN l.min_z AND l.max_z)
 SELECT a.event_id, a.frame_id, CAST(h.depth AS BIGINT) AS leaf_depth, h.path AS leaf_path, h.n AS leaf_n FROM asked a LEFT JOIN hit h ON a.event_id = h.event_id AND h.k = 1"""
 
 
@@ -265,11 +272,11 @@ def quota_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUOTA_SAMPLE = f"""WITH RECURSIVE b AS (SELECT id AS seq, entity_id, label, CASE WHEN label = 2 THEN 2 WHEN label = 1 OR probability >= 0.5 THEN 1 ELSE 0 END AS kind, row_number() OVER (PARTITION BY entity_id ORDER BY id) - 1 AS r, count(*) OVER (PARTITION BY entity_id) AS e, count(*) OVER () AS n, 300 AS budget FROM ({EMBEDDINGS})),
 q AS (SELECT entity_id, max(e) AS e, CASE arg_min(kind, seq) WHEN 2 THEN 96 WHEN 1 THEN 64 ELSE 32 END AS quota FROM b GROUP BY 1),
 q2 AS (SELECT *, greatest(0, least(quota, 300 - coalesce(sum(least(quota, e)) OVER (ORDER BY entity_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS cnt FROM q),
-s0 AS (SELECT b.*, n <= budget OR (cnt > 0 AND (cnt >= q2.e OR r IN (SELECT (i * q2.e) // cnt FROM unnest(range(CAST(cnt AS BIGINT))) AS t(i)))) AS chosen FROM b JOIN q2 USING (entity_id)),
+s0 AS (SELECT b.*, n <= budget OR (cnt > 0 AND (cnt >= q2.e OR r IN (SELECT (i * q2.e) // nullif(cnt, 0) FROM unnest(range(CAST(cnt AS BIGINT))) AS t(i)))) AS chosen FROM b JOIN q2 USING (entity_id)),
 """ + "".join(
     f"""k{k} AS (SELECT *, CASE WHEN kind = {kind} THEN count(*) FILTER (kind = {kind}) OVER (ORDER BY seq) - 1 END AS rk, count(*) FILTER (kind = {kind}) OVER () AS m, count(*) FILTER (chosen) OVER () AS taken FROM s{k - 1}),
 t{k} AS (SELECT *, least({target}, budget - taken) AS cnt FROM k{k}),
-s{k} AS (SELECT seq, entity_id, label, kind, n, budget, chosen OR (kind = {kind} AND cnt > 0 AND (cnt >= m OR CAST(ceil(CAST(rk * cnt AS DOUBLE) / m) AS BIGINT) * m // cnt = rk AND CAST(ceil(CAST(rk * cnt AS DOUBLE) / m) AS BIGINT) < cnt)) AS chosen FROM t{k}),
+s{k} AS (SELECT seq, entity_id, label, kind, n, budget, chosen OR (kind = {kind} AND cnt > 0 AND (cnt >= m OR CAST(ceil(CAST(rk * cnt AS DOUBLE) / m) AS BIGINT) * m // nullif(cnt, 0) = rk AND CAST(ceil(CAST(rk * cnt AS DOUBLE) / m) AS BIGINT) < cnt)) AS chosen FROM t{k}),
 """
     for k, kind, target in ((1, 2, "least(m, 60)"), (2, 1, "least(m, 120)"), (3, 0, "300"))
 ) + """k4 AS (SELECT *, seq IN (SELECT (i * (SELECT max(n) FROM s3)) // 300 FROM unnest(range(300)) AS t(i)) OR n <= budget AS w FROM s3),
