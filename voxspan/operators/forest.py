@@ -231,7 +231,7 @@ def confusion_matrix(rows: DataFrame, truth: str = "truth", predicted: str = "pr
 def class_metrics(rows: DataFrame, truth: str = "truth", predicted: str = "predicted") -> DataFrame:
     """Precision, recall, F1 and support of each class that occurs, and their macro and weighted means; 0 where a divisor is zero."""
     pairs = confusion_matrix(rows, truth, predicted)
-    sides = pairs.select(F.explode(F.array(F.struct(F.col(truth).alias("c"), F.lit(1).alias("t"), F.lit(0).alias("p"), (F.col(truth) == F.col(predicted)).cast("int").alias("hit")), F.struct(F.col(predicted).alias("c"), F.lit(0), F.lit(1), F.lit(0)))).alias("s"), "rows").select("s.*", "rows")
+    sides = pairs.select(F.explode(F.array(F.struct(F.col(truth).alias("c"), F.lit(1).alias("t"), F.lit(0).alias("p"), (F.col(truth) == F.col(predicted)).cast("int").alias("hit")), F.struct(F.col(predicted).alias("c"), F.lit(0).alias("t"), F.lit(1).alias("p"), F.lit(0).alias("hit")))).alias("s"), "rows").select("s.*", "rows")
     by = sides.groupBy("c").agg(*[F.sum(F.col(k) * F.col("rows")).alias(k) for k in ("t", "p", "hit")])
 
     def ratio(a, b):
