@@ -1,6 +1,7 @@
 """Every registered query with SQL against DuckDB on the smallest tables."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 from voxspan import plans
@@ -22,7 +23,7 @@ def _rows(df):
     df = df[sorted(df.columns)]
 
     def text(v):
-        if v is None or v != v:
+        if pd.isna(v):
             return "-"
         return str(v) if isinstance(v, (bool, str)) or type(v).__name__ == "bool_" else f"{float(v) + 0.0:.4f}"
 
