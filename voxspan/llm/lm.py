@@ -90,7 +90,7 @@ def ending_pairs(docs: DataFrame, training: str) -> np.ndarray:
     return out.reshape(ENDINGS, ENDINGS)
 
 
-def ending_classes(pairs: np.ndarray, rounds: int = 60, tries: int = 4) -> np.ndarray:
+def ending_classes(pairs: np.ndarray, rounds: int = 60, tries: int = 8) -> np.ndarray:
     """(CLASSES, ENDINGS) log probability of an ending in each class: both ends of a pair are drawn from one class."""
     s = pairs + pairs.T
     best, best_fit = np.zeros((CLASSES, ENDINGS)), -np.inf
@@ -228,11 +228,11 @@ def slots_at(s: Spelling, bit: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def context_counts(words: DataFrame, heavy: float) -> np.ndarray:
-    """(2, slots) counts of zeros and ones, as uint16: halved together where one of them would not fit."""
+    """Counts of zeros (low half) and ones (high half) of each slot, as uint32: made smaller together where one of them would not fit."""
     width = -(-int(BASE[-1]) // SLICES)
 
     def run(batches):
-        counts = np.zeros((2, SLICES * width), np.float32)
+        counts = np.zeros(2 * SLICES * width, np.float32)
         for batch in batches:
             ws, cs, zs = batch.column(0).to_pylist(), batch.column(1).to_numpy().astype(np.float32), batch.column(2).to_numpy()
             for lo in range(0, len(ws), 4 * WORDS_AT_ONCE):
@@ -241,29 +241,32 @@ def context_counts(words: DataFrame, heavy: float) -> np.ndarray:
                 known = c >= heavy
                 for bit in range(8):
                     at, y = slots_at(s, bit)
+                    at = 2 * at + y
                     for k in range(ORDERS):
-                        for v in (0, 1):
-                            own = (y == v) & known if k >= ORDERS - 2 else y == v
-                            np.add.at(counts[v], at[k][own], c[own])
+                        if k < ORDERS - 2:
+                            np.add.at(counts, at[k], c)
+                        else:
+                            np.add.at(counts, at[k][known], c[known])
+        counts = counts.reshape(-1, 2)
         for i in range(SLICES):
-            part = counts[:, i * width : (i + 1) * width]
-            at = np.flatnonzero(part.any(0)).astype(np.int32)
+            part = counts[i * width : (i + 1) * width]
+            at = np.flatnonzero(part.any(1)).astype(np.int32)
             if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([at.tobytes()], pa.binary()), pa.array([part[:, at].tobytes()], pa.binary())], names=["slice", "at", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([at.tobytes()], pa.binary()), pa.array([part[at].tobytes()], pa.binary())], names=["slice", "at", "counts"])
 
     def add(group: pa.Table) -> pa.Table:
-        total = np.zeros((2, width), np.float64)
+        total = np.zeros((width, 2), np.float64)
         for at, part in zip(group["at"].to_pylist(), group["counts"].to_pylist(), strict=True):
             at = np.frombuffer(at, np.int32)
-            total[:, at] += np.frombuffer(part, np.float32).reshape(2, -1)
-        big = np.maximum(1.0, total.max(0) / 65535)
-        out = np.where(total > 0, np.maximum(np.floor(total / big), 1), 0).astype(np.uint16)
+            total[at] += np.frombuffer(part, np.float32).reshape(-1, 2)
+        big = np.maximum(1.0, total.max(1, keepdims=True) / 65535)
+        out = np.where(total > 0, np.maximum(np.floor(total / big), 1), 0).astype("<u2")
         return pa.table({"slice": pa.array([group["slice"][0].as_py()]), "counts": pa.array([out.tobytes()], pa.binary())})
 
     parts = words.select("word", "c", "z").coalesce(PARTS).mapInArrow(run, "slice long, at binary, counts binary")
-    out = np.zeros((2, SLICES * width), np.uint16)
+    out = np.zeros(SLICES * width, np.uint32)
     for row in run_groups(parts, ["slice"], add, "slice long, counts binary").collect():  # of fixed size: the model
-        out[:, row["slice"] * width : (row["slice"] + 1) * width] = np.frombuffer(row["counts"], np.uint16).reshape(2, -1)
+        out[row["slice"] * width : (row["slice"] + 1) * width] = np.frombuffer(row["counts"], "<u4")
     return out
 
 
@@ -276,11 +279,10 @@ class Mixer:
     heavy: float
 
     def __getstate__(self):  # most slots are empty on small inputs
-        return self.__dict__ | {"counts": (zlib.compress(self.counts.tobytes(), 1), self.counts.shape)}
+        return self.__dict__ | {"counts": zlib.compress(self.counts.tobytes(), 1)}
 
     def __setstate__(self, state):
-        packed, shape = state["counts"]
-        self.__dict__.update(state | {"counts": np.frombuffer(zlib.decompress(packed), np.uint16).reshape(shape)})
+        self.__dict__.update(state | {"counts": np.frombuffer(zlib.decompress(state["counts"]), np.uint32)})
 
 
 def new_mixer(counts: np.ndarray, heavy: float) -> Mixer:
@@ -299,7 +301,8 @@ def _level(n: np.ndarray) -> np.ndarray:
 
 def bit_inputs(m: Mixer, at: np.ndarray, y: np.ndarray | None, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(ORDERS + 1, bytes) stretched predictions and the gates. With y each count is taken without one sight of y."""
-    n0, n1 = m.counts[0][at].astype(np.float32), m.counts[1][at].astype(np.float32)
+    both = m.counts[at]
+    n0, n1 = (both & np.uint32(0xFFFF)).astype(np.float32), (both >> np.uint32(16)).astype(np.float32)
     if y is not None:
         n0 -= (y == 0) & (n0 > 0)
         n1 -= (y == 1) & (n1 > 0)
