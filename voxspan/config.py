@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Mapping
+from dataclasses import dataclass, fields
 
 FREE, OBSTACLE, STAIR = 0, 1, 2
 
@@ -103,3 +104,28 @@ def parse_point(text: str) -> tuple[float, float, float] | None:
     except ValueError:
         return None
     return values if len(values) == 3 else None  # type: ignore[return-value]
+
+
+#: The settings that scripts pass by name, and the fields they stand for.
+PLANNER_NAMES = {
+    "PATH_BLOCK_PROBABILITY": "obstacle_block_probability",
+    "PATH_PROBABILITY_WEIGHT": "probability_weight",
+    "PATH_VERTICAL_WEIGHT": "vertical_weight",
+    "PATH_STAIR_CONNECTION_RADIUS": "stair_connection_radius",
+    "PATH_MAX_NON_STAIR_VERTICAL_STEP": "max_non_stair_vertical_step",
+    "PATH_STAIR_FLOOR_EXIT_TOLERANCE": "stair_floor_exit_tolerance",
+    "FEATURE_FLOOR_Z": "floor_z",
+    "FEATURE_STORY_HEIGHT": "story_height",
+    "FEATURE_FLOOR_SURFACE_OFFSET": "floor_surface_offset",
+}
+
+
+def from_names(kind: type, given: Mapping[str, str], names: Mapping[str, str] = PLANNER_NAMES):
+    """Settings of a kind from texts by name; names that the kind has no field for are left out, and defaults fill the rest."""
+    known = {f.name: f for f in fields(kind)}
+    values = {}
+    for name, field in names.items():
+        if name in given and field in known:
+            default = known[field].default
+            values[field] = given[name].lower() in ("1", "true", "yes") if isinstance(default, bool) else type(default)(float(given[name]))
+    return kind(**values)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..config import OctreeConfig, PlannerConfig
 from ..functions.components import written
 from ..functions.geometry import AXES, d
-from ..operators import graph, neighbors, octree
+from ..operators import graph, neighbors, octree, view
 from ..sources import adapters
 from ..streaming import state
 from .clouds import EMBEDDINGS, held_order_sql, octree_sql, r4
@@ -295,6 +295,42 @@ def astar_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("query_id", "success", "message", "start_leaf", "goal_leaf", r4("total_cost", "total_cost", 3), "expanded", F.size("leaf_ids").alias("steps"), F.size("waypoints").alias("waypoints"))
 
 
+def leaf_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tree, _ = _tree(spark, sf_dir)
+    by_depth = view.colours(tree, "depth").select("leaf_id", *[r4(c, f"depth_{c}", 3) for c in "rgb"])
+    by_label = view.colours(tree, "label").select("leaf_id", *[r4(c, f"label_{c}", 3) for c in "rgb"])
+    return view.colours(tree).select("leaf_id", *[r4(c, c, 3) for c in "rgb"]).join(by_depth, "leaf_id").join(by_label, "leaf_id")
+
+
+LEAF_COLOURS = LEAVES + f""", c AS (SELECT leaf_id, {_stair()} AS st, label = 1 OR CAST(probability AS DOUBLE) >= 0.7 AS blk, least(1.0, depth / 9.0) AS t, greatest(0.0, least(1.0, CAST(probability AS DOUBLE))) AS p FROM leaf)
+SELECT leaf_id, round(CASE WHEN st THEN 1.0 WHEN p < 0.5 THEN 0.18 + 0.82 * p * 2 ELSE 1.0 END, 3) AS r, round(CASE WHEN st THEN 0.0 WHEN p < 0.5 THEN 0.72 + 0.18 * p * 2 ELSE 0.9 - 0.78 * (p * 2 - 1) END, 3) AS g, round(CASE WHEN st THEN 0.95 WHEN p < 0.5 THEN 0.95 - 0.85 * p * 2 ELSE 0.1 - 0.04 * (p * 2 - 1) END, 3) AS b,
+ round(CASE WHEN st THEN 1.0 ELSE 0.15 + 0.85 * t END, 3) AS depth_r, round(CASE WHEN st THEN 0.0 ELSE 0.85 - 0.55 * t END, 3) AS depth_g, round(CASE WHEN st THEN 0.95 ELSE 1.0 - 0.75 * t END, 3) AS depth_b,
+ CASE WHEN st OR blk THEN 1.0 ELSE 0.12 END AS label_r, CASE WHEN st THEN 0.0 WHEN blk THEN 0.2 ELSE 0.85 END AS label_g, CASE WHEN st THEN 0.95 WHEN blk THEN 0.12 ELSE 0.35 END AS label_b FROM c"""
+
+
+def render_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tree, _ = _tree(spark, sf_dir)
+    return view.render_cap(written(tree, "tree"), 150).select("leaf_id", "label")
+
+
+RENDER_CAP = LEAVES + f""", n AS (SELECT count(*) FILTER ({_stair()}) AS s, count(*) AS n FROM leaf), w AS (SELECT s, n - s AS f, least(n, 150) AS room, least(s, 150) AS m1, greatest(0, least(n, 150) - s) AS m0 FROM n),
+p AS (SELECT DISTINCT true AS st, CAST(floor(i * (CAST(s AS DOUBLE) / m1)) AS BIGINT) AS at_ FROM w, unnest(range(m1)) AS t(i) UNION SELECT DISTINCT false, CAST(floor(i * (CAST(f AS DOUBLE) / m0)) AS BIGINT) FROM w, unnest(range(m0)) AS t(i)),
+k AS (SELECT leaf_id, label, {_stair()} AS st, row_number() OVER (PARTITION BY {_stair()} ORDER BY leaf_id) - 1 AS at_ FROM leaf) SELECT leaf_id, label FROM k JOIN p USING (st, at_)"""
+
+
+def endpoint_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tree, roots = _tree(spark, sf_dir)
+    ends = graph.endpoint_snap(_asked(spark, sf_dir), tree, roots, CFG, PLAN).select("query_id", "frame_id", "leaf_id", "snapped", "snap_distance")
+    shown = ends.join(tree.select("frame_id", "leaf_id", "cx", "cy", "cz", "label", "probability"), ["frame_id", "leaf_id"], "left")
+    return shown.select("query_id", view.endpoint_line("start").alias("line"))
+
+
+def path_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tree, roots, costs = _costs(spark, sf_dir)
+    ends = graph.endpoint_snap(_asked(spark, sf_dir), tree, roots, CFG, PLAN).select("frame_id", "query_id", F.col("leaf_id").alias("start_leaf"), F.col("leaf_id").alias("goal_leaf"))
+    return view.path_markers(graph.find_paths(tree, written(costs, "costs"), ends, PLAN)).groupBy("kind").agg(F.count(F.lit(1)).alias("markers"), F.sum(F.size("points")).alias("points"))
+
+
 def path_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = adapters.table(spark, sf_dir, "events")
     points = t.select((F.col("event_id") % 50).alias("path_id"), F.col("event_id").alias("ord"), ((F.col("user_id") % 40) * 0.25).alias("x"), (F.col("value") % 20.0).alias("y"), (1.0 + 4.0 * (F.col("event_id") % 3)).alias("z"))
@@ -318,6 +354,6 @@ PATH_CHANGES = """WITH p AS (SELECT o_custkey % 100 AS path_id, o_orderkey AS fr
 n AS (SELECT *, lag(x) OVER w AS bx, lag(z) OVER w AS bz FROM p WINDOW w AS (PARTITION BY path_id ORDER BY frame))
 SELECT path_id, count(*) AS frames, count(*) FILTER (bx IS NULL OR sqrt((x - bx) * (x - bx) + (z - bz) * (z - bz)) > 0.05) AS changes FROM n GROUP BY 1"""
 
-NAMES = ["face_neighbors", "traversal_cost", "traversal_edges", "flood_fill", "obstacle_cells", "clearance_semijoin", "segment_block", "stair_edges", "stair_components", "stair_component_stats", "floor_gate", "graph_edges", "edge_cost", "heuristic_cost", "endpoint_snap", "astar_path", "path_segments", "path_changes"]
+NAMES = ["face_neighbors", "traversal_cost", "traversal_edges", "flood_fill", "obstacle_cells", "clearance_semijoin", "segment_block", "stair_edges", "stair_components", "stair_component_stats", "floor_gate", "graph_edges", "edge_cost", "heuristic_cost", "endpoint_snap", "leaf_colours", "render_cap", "endpoint_lines", "path_markers", "astar_path", "path_segments", "path_changes"]
 QUERIES = {n: globals()[n] for n in NAMES}
 SQL = {n: globals()[n.upper()] for n in NAMES if n.upper() in globals()}

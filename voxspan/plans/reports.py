@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import forest, report
+from ..operators import forest, report, view
 from ..sources import adapters, files
 from .clouds import r4
 
@@ -48,6 +48,13 @@ _CHANGE = "CASE WHEN rate THEN (o - b) ELSE (b - o) END / nullif(b, 0) * 100.0"
 REPORT_TEXT = SUMMARY + f", m AS ({_LONG}) SELECT metric, format('{{:.2f}}', b) AS base_text, coalesce(format('{{:+.2f}}%', {_CHANGE}), 'N/A') AS change_text, CASE WHEN abs(o) >= 1000 THEN format('{{:.2f}} s', o / 1000.0) ELSE format('{{:.1f}} ms', o) END AS duration_text, coalesce(CASE WHEN NOT rate THEN format('{{:.2f}}x', b / nullif(o, 0)) END, 'N/A') AS speedup_text FROM m"
 
 
+def run_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return adapters.benchmark_rows(spark, sf_dir).select(view.run_line().alias("line"))
+
+
+RUN_LINES = f"SELECT concat('[benchmark] frame=', frame, ' mode=', mode, ' points=', used_points, ' leaves=', leaf_count, ' path=', CASE WHEN path_success THEN 'success' ELSE 'failed' END, ' expanded=', expanded_nodes, ' waypoints=', waypoints, format(' total_ms={{:.6f}}', total_ms)) AS line FROM ({RUNS})"
+
+
 def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text rows as a feature file gives them: some labels and numbers are no numbers."""
     t = adapters.table(spark, sf_dir, "lineitem")
@@ -149,6 +156,6 @@ def rf_train(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.class_metrics(out.withColumnRenamed("predicted_label", "predicted")).select("class", "support", *[r4(c, c) for c in ("precision", "recall", "f1")])
 
 
-NAMES = ["bench_summary", "bench_comparison", "report_text", "training_filter", "rows_by_file", "label_counts", "confusion_matrix", "class_metrics", "prob_error", "rf_predict", "rf_train"]
+NAMES = ["bench_summary", "bench_comparison", "report_text", "run_lines", "training_filter", "rows_by_file", "label_counts", "confusion_matrix", "class_metrics", "prob_error", "rf_predict", "rf_train"]
 QUERIES = {n: globals()[n] for n in NAMES}
 SQL = {n: globals()[n.upper()] for n in NAMES if n.upper() in globals()}

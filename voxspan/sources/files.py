@@ -124,12 +124,14 @@ def pcd_files(points: DataFrame, key: str = "frame_id") -> DataFrame:
     return points.select(key, "x", "y", "z").groupBy(key).applyInPandas(run, f"{key} {kind}, content binary")
 
 
-def colours(leaves: DataFrame) -> DataFrame:
-    """r, g, b of leaves: stairs magenta, others by label, darker with less probability."""
-    p = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("probability").cast("double")))
-    stair = (F.col("label") == 2) | F.col("is_cross_floor")
-    strong = F.round(80 + p * 175).cast("int")
-    r = F.when(stair, 255).when(F.col("label") == 1, strong).otherwise(60)
-    g = F.when(stair, 0).when(F.col("label") == 1, 60).otherwise(F.round(255 - p * 120).cast("int"))
-    b = F.when(stair, 255).otherwise(60)
-    return leaves.withColumn("r", r).withColumn("g", g).withColumn("b", b)
+def training_report(counts: DataFrame, metrics: DataFrame, errors: DataFrame, top: DataFrame, inputs: list[str]) -> DataFrame:
+    """One row: label counts, class measures, probability errors and importances, for a JSON file."""
+
+    def rows(df: DataFrame) -> DataFrame:
+        return df.agg(F.collect_list(F.struct(*df.columns)).alias("_r"))  # a few rows each
+
+    parts = [rows(x).withColumnRenamed("_r", name) for name, x in (("label_counts", counts), ("classes", metrics), ("probability", errors), ("importances", top))]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.crossJoin(F.broadcast(p))  # one row
+    return out.withColumn("inputs", F.array(*[F.lit(c) for c in inputs])).withColumn("trained_at", F.current_timestamp())
