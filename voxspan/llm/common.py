@@ -13,10 +13,22 @@ from pyspark.sql import functions as F
 
 U64 = np.uint64
 #: Texts are hashed in chunks of about so many bytes, which bounds a worker's memory.
-CHUNK_BYTES = 1_500_000
+CHUNK_BYTES = 1_000_000
+
+
+#: Rows of an Arrow batch; documents are long, so Spark's default of 10,000 rows makes batches of tens of MB.
+ARROW_ROWS = 500
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of this session, unless they are bounded below already."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > ARROW_ROWS:
+        spark.conf.set(key, ARROW_ROWS)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -32,6 +44,7 @@ def shared_dir(spark: SparkSession) -> str:
 def staged(df: DataFrame, tag: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/voxspan/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
