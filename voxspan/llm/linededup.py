@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import text_slices
-from .common import U64, block_pairs, mixed, random_odd, run_groups, staged
+from .common import U64, block_pairs, mixed, random_odd, release, run_groups, staged
 
 TAU, MIN_CHARS, FEW_LINES, BLOCK_LINES = 2, 20, 24, 1024
 #: Up to so many rows of candidate hashes, or bytes of line numbers, are sent to all tasks; more are joined by a shuffle.
@@ -159,6 +159,7 @@ def line_rows(docs: DataFrame, tau: int, min_chars: int) -> DataFrame:
                 keys = np.ascontiguousarray(np.concatenate(keys_of(lines, own, tau), 1)).astype("<u8")
                 blob = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * keys.shape[1]), len(own), [None, pa.py_buffer(keys.tobytes())]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([ids, pa.array(lines.number[own].astype(np.int32)), pa.array(h.view(np.int64)), blob], names=["doc_id", "line", "h", "keys"])
+        release()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, line int, h long, keys binary")
 
@@ -189,6 +190,7 @@ def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 h, at = np.unique(mixed(lines.hashes(lines.start[own], lines.length[own]) ^ lines.length[own].astype(U64)), return_index=True)
                 said = [lines.points[s : s + n].tobytes().decode("utf-32-le", "surrogatepass") for s, n in zip(lines.start[own[at]], lines.length[own[at]], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(said, pa.string())], names=["h", "said"])
+        release()
 
     every = docs.select(F.col("text").cast("string")).where("text is not null").mapInArrow(run, "h long, said string")
     few = wanted.count() <= SEND_ROWS
@@ -228,11 +230,11 @@ def near_lines(docs: DataFrame, classes: DataFrame, tau: int) -> DataFrame:
     post, probe = posted(classes, tau, False), posted(classes, tau, True)
     other = post.select(F.col("key").alias("own"), F.col("h").alias("g")).hint("shuffle_hash")
     found = staged(probe.join(other, (F.col("key") == F.col("own")) & (F.col("h") != F.col("g")), "left_semi").distinct(), "lines-met")
-    keys = staged(found.select(F.col("key").alias("own")).distinct(), "lines-keys")
+    keys = found.select(F.col("key").alias("own")).distinct()
     few = keys.count() <= SEND_ROWS
     met = found.withColumn("post", F.lit(False)).union(post.join(F.broadcast(keys) if few else keys, F.col("key") == F.col("own"), "left_semi").withColumn("post", F.lit(True)))
     met = staged(met.groupBy("key", "h").agg(F.max("post").alias("post")), "lines-meeting")
-    wanted = staged(met.select("h").distinct(), "lines-wanted")
+    wanted = met.select("h").distinct()
     first = classes.select("h", F.col("first.doc_id").alias("doc_id"), F.col("first.line").alias("line"))
     said = staged(_texts_of(docs, wanted).join(first, "h"), "lines-said")
     crowd = met.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
@@ -282,7 +284,8 @@ def removed_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -
     classes = staged(lines.groupBy("h").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count(F.lit(1)).alias("times"), F.max("keys").alias("keys")), "lines-classes")
     later = near_lines(docs, classes, tau).withColumn("goes", F.lit(True))
     touched = classes.select("h", "first", "times").join(later, "h", "left").where("times > 1 or goes")
-    found = lines.select("doc_id", "line", "h").join(touched, "h")
+    touched = staged(touched, "lines-touched")
+    found = lines.select("doc_id", "line", "h").join(F.broadcast(touched) if touched.count() <= SEND_ROWS else touched, "h")
     return found.where(F.coalesce("goes", F.lit(False)) | ~F.struct("doc_id", "line").eqNullSafe(F.col("first"))).select("doc_id", "line", "h").distinct()
 
 
@@ -312,5 +315,6 @@ def dedup_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) ->
                     texts[k] = "\n".join(x for i, x in enumerate(t.split("\n")) if i not in drop)
                     r[-1] = len(drop)
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in passed] + [pa.array(texts, pa.string()), pa.array(n, pa.int32()), pa.array(r, pa.int32())], names=[names[i] for i in passed] + ["text", "n_lines", "n_removed"])
+        release()
 
     return joined.withColumn("text", F.col("text").cast("string")).mapInArrow(run, schema)
