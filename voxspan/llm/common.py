@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -12,12 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
+_libc = ctypes.CDLL(None) if hasattr(ctypes.CDLL(None), "malloc_trim") else None
 #: Texts are hashed in chunks of about so many bytes, which bounds a worker's memory.
 CHUNK_BYTES = 1_000_000
 
 
 #: Rows of an Arrow batch; documents are long, so Spark's default of 10,000 rows makes batches of tens of MB.
-ARROW_ROWS = 500
+ARROW_ROWS = 2000
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -61,6 +63,13 @@ def unstage(df: DataFrame) -> None:
         p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def release() -> None:
+    """Give freed memory back to the system at the end of a task: idle workers stay, and others share the executor's limit."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """splitmix64's finaliser."""
     x = x ^ (x >> U64(30))
@@ -154,6 +163,7 @@ def batches_of(column: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[tup
             for lo, hi in chunks(offsets):
                 part = offsets[lo : hi + 1]
                 yield batch.slice(lo, hi - lo), data[part[0] : part[-1]], part - part[0]
+        release()
 
     return gen
 
@@ -197,6 +207,8 @@ def run_groups(df: DataFrame, keys: list[str], fn: Callable[[pa.Table], pa.Table
         close()
         if outs:
             yield from pa.concat_tables(outs).combine_chunks().to_batches()
+            outs.clear()
+        release()
 
     return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
@@ -216,16 +228,6 @@ def block_pairs(df: DataFrame, key: list[str], member: str, blocks: str) -> Data
     )
 
 
-def roots_of(n: int, links: list[tuple[int, np.ndarray]]) -> np.ndarray:
-    """Smallest index reachable by links (i, all j)."""
-    comp = np.arange(n)
-    for i, js in links:
-        seen = np.unique(comp[np.append(js, i)])
-        if len(seen) > 1:
-            comp[np.isin(comp, seen)] = seen[0]
-    return comp
-
-
 def components(edges: DataFrame, tag: str = "cc", most: int = 60) -> DataFrame:
     """(id, component) for every end of the edges (a, b): the smallest id reachable.
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, batches_of, block_pairs, components, hash_spans, mixed, random_odd, roots_of, run_groups, split_words, staged
+from .common import U64, batches_of, block_pairs, components, hash_spans, mixed, random_odd, run_groups, split_words, staged
 
 #: With 32 coordinates a pair at similarity 0.8 agrees in fewer than 16 once in 15,000 times.
 COORDS, MATCHES = 32, 16
@@ -118,7 +118,7 @@ def candidate_groups(reps: DataFrame, matches: int = MATCHES, coords: int = COOR
         ids, size = group["doc_id"].to_numpy(), group["n_shingles"].to_numpy()
         sig, side = _flat(group["tokens"], coords), group["side"].to_numpy()
         across = group["lo"][0].as_py() != group["hi"][0].as_py()
-        comp, links = np.arange(len(ids)), []
+        comp = np.arange(len(ids))
         for i in range(len(ids) - 1):
             rest = np.arange(i + 1, len(ids))
             ok = (100 * np.minimum(size[rest], size[i]) >= percent * np.maximum(size[rest], size[i])) & (comp[rest] != comp[i])
@@ -128,7 +128,6 @@ def candidate_groups(reps: DataFrame, matches: int = MATCHES, coords: int = COOR
             if len(rest):
                 rest = rest[(sig[rest] == sig[i]).sum(1) >= matches]
                 if len(rest):
-                    links.append((i, rest))
                     seen = np.unique(comp[np.append(rest, i)])
                     comp[np.isin(comp, seen)] = seen[0]
         return _edges(ids, comp)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import ChunkCache, normalized, text_slices
-from .common import U64, mixed, run_groups, staged
+from .common import U64, mixed, release, run_groups, staged
 
 SEQUENCE, BLOCK_PIECES, END_ID, LATE = 4096, 32_768, 1, 0.15
 
@@ -90,6 +90,7 @@ def token_pieces(docs: DataFrame, path: str, most: int = SEQUENCE, end_id: int =
                         for c, x in zip(cols, (i, p, at, len(own) // 4, zlib.crc32(own)), strict=True):
                             c.append(x)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        release()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 

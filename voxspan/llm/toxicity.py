@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import BYTE_VALUES, U64, batches_of, hash_spans, mixed, random_odd, split_words
 
-TRAIN_DOCS, TRAIN_CHARS = 3000, 200_000
+TRAIN_DOCS, TRAIN_CHARS = 3000, 50_000
 WINDOW, STRIDE = 32, 16
 HIDDEN, CHANNELS, SLOTS = 8, 5, 1 << 20
 GRAMS = (4, 6)
