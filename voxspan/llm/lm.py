@@ -4,7 +4,9 @@ A text is a sequence of tokens: its words and one end. Each token is spelled byt
 end is a line feed), and each bit is predicted from several hashed contexts: the place in the word, the last one, two,
 three and five bytes, and all of the word so far, each with the state, and once more all of the word without it. The
 state is the class of text that the word endings before it in the same text speak for; classes come from how word endings
-follow each other in all training texts. A context's counts of zeros and ones give one prediction each; they are mixed
+follow each other in all training texts. Counts of the contexts of all of the word are exact: words are dealt to ranges of
+their order, where the words that share a beginning stand together, and the mass of all other ranges is added along the
+ranges' ends. The other contexts have hashed tables, sized by the distinct pairs of context and bit. A context's counts of zeros and ones give one prediction each; they are mixed
 in the logistic domain with weights that a gate selects by how much the longest contexts have seen, and the mix is
 refined by an adaptive table over gate and prediction. Weights and refinement are learned online, on each training token
 as if it had been seen once less. All tokens of all training texts are counted.
@@ -18,7 +20,9 @@ scores; a table without training rows scores with untrained weights; other colum
 
 from __future__ import annotations
 
+import bisect
 import math
+import pickle
 import zlib
 from dataclasses import dataclass
 
@@ -28,14 +32,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, batches_of, hash_spans, mixed, random_odd, run_groups, split_words, staged
+from .common import U64, batches_of, hash_spans, mixed, random_odd, release, run_groups, split_words, staged, unstage
 
 #: A word counts as frequent from a 1/TOP of all tokens on, so there are at most TOP of them.
 TOP = 1 << 20
-#: log2 of the slots of each context's table; the last context learns from words with a 1/HEAVY of the training tokens.
-BITS, HEAVY = (12, 16, 20, 21, 21, 22, 21), 1 << 22
+#: log2 of the slots of each context's table, at least. The first HASHED grow with the input; the last two, of whole words, are for words outside a range.
+BITS, HASHED = (12, 16, 20, 21, 21, 22, 21), 5
 ORDERS = len(BITS)
 BASE = np.concatenate([[0], np.cumsum([1 << b for b in BITS])]).astype(np.int64)
+#: One of so many contexts is looked at to size the tables. Rows of a range, ends drawn for each, bytes of an end, bytes of an Arrow batch of ranges.
+SIZED_BY, RANGE_ROWS, DRAWN, END_BYTES, BATCH_BYTES = 64, 10_000, 40, 256, 16 << 20
 SLICES, PARTS, WORDS_AT_ONCE = 64, 64, 2048
 #: Word endings are hashed to so many; texts are in one of so many classes, and before its first word in none.
 ENDINGS, CLASSES = 512, 6
@@ -189,9 +195,9 @@ class Spelling:
 
 
 def spelling(words: list[bytes], z: np.ndarray) -> Spelling:
-    full = [w if w == END else w + b" " for w in words]
-    lens = np.array([len(w) for w in full])
-    data = np.frombuffer(b"".join(full), np.uint8)
+    ends = [w if w[-1:] in (b" ", END) else w + b" " for w in words]
+    lens = np.array([len(w) for w in ends])
+    data = np.frombuffer(b"".join(ends), np.uint8)
     first = np.cumsum(lens) - lens
     of = np.repeat(np.arange(len(words)), lens)
     pos = np.arange(len(data)) - first[of]
@@ -218,18 +224,211 @@ def spelling(words: list[bytes], z: np.ndarray) -> Spelling:
     return Spelling(data, of, c)
 
 
-def slots_at(s: Spelling, bit: int) -> tuple[np.ndarray, np.ndarray]:
-    """(ORDERS, bytes) slots for one of the eight bits, and the bits."""
+def slots_at(s: Spelling, bit: int, bits: tuple[int, ...] = BITS) -> tuple[np.ndarray, np.ndarray]:
+    """(tables, bytes) slots for one of the eight bits, and the bits."""
     node = ((1 << bit) | (s.data.astype(np.int64) >> (8 - bit))).astype(U64) * _C1
-    out = np.empty(s.contexts.shape, np.int64)
-    for k, b in enumerate(BITS):
-        out[k] = (((s.contexts[k] ^ node) * _C2) >> U64(64 - b)).astype(np.int64) + BASE[k]
+    out = np.empty((len(bits), len(s.data)), np.int64)
+    base = 0
+    for k, b in enumerate(bits):
+        out[k] = (((s.contexts[k] ^ node) * _C2) >> U64(64 - b)).astype(np.int64) + base
+        base += 1 << b
     return out, (s.data >> (7 - bit)) & 1
 
 
-def context_counts(words: DataFrame, heavy: float) -> np.ndarray:
+def table_bits(words: DataFrame) -> tuple[int, ...]:
+    """log2 of the slots of each hashed table: as many as there are distinct pairs of context and bit in training words, or more."""
+
+    def run(batches):
+        for batch in batches:
+            ws, zs = batch.column(0).to_pylist(), batch.column(1).to_numpy()
+            for lo in range(0, len(ws), 4 * WORDS_AT_ONCE):
+                s = spelling(ws[lo : lo + 4 * WORDS_AT_ONCE], zs[lo : lo + 4 * WORDS_AT_ONCE])
+                for k in range(HASHED):
+                    # the few contexts of low order are all looked at
+                    at = np.flatnonzero(s.contexts[k] % U64(SIZED_BY) == 0) if k > 1 else np.arange(len(s.data))
+                    c, x = s.contexts[k][at], s.data[at].astype(np.int64)
+                    nodes = [(c ^ (((1 << bit) | (x >> (8 - bit))).astype(U64) * _C1)) * _C2 for bit in range(8)]
+                    found = _signed(np.unique(np.concatenate(nodes)))
+                    for i in range(0, len(found), 50_000):
+                        part = found[i : i + 50_000]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), k)), pa.array(part)], names=["k", "node"])
+
+    rows = words.select("word", "z").mapInArrow(run, "k long, node long").distinct().groupBy("k").count().collect()  # HASHED rows
+    n = {r["k"]: r["count"] * (SIZED_BY if r["k"] > 1 else 1) for r in rows}
+    return tuple(max(BITS[k], math.ceil(math.log2(n.get(k, 1)))) for k in range(HASHED))
+
+
+def full(word: bytes) -> bytes:
+    """A word with its end, as it is spelled and ordered."""
+    return word if word == END else word + b" "
+
+
+def common_bits(words: list[bytes]) -> np.ndarray:
+    """How many leading bits each word shares with the one before it (0 for the first); no word begins another one."""
+    n = len(words)
+    out = np.zeros(n, np.int64)
+    if n < 2:
+        return out
+    data = np.frombuffer(b"".join(words) + b"\0", np.uint8)
+    lens = np.array([len(w) for w in words])
+    first = np.cumsum(lens) - lens
+    shorter = np.minimum(lens[1:], lens[:-1])
+    at, pos = np.arange(1, n), 0
+    while len(at):
+        x = data[first[at] + pos] ^ data[first[at - 1] + pos]
+        out[at[x > 0]] = 8 * pos + 8 - np.frexp(x[x > 0].astype(float))[1]
+        pos += 1
+        done = (x == 0) & (shorter[at - 1] <= pos)
+        out[at[done]] = 8 * pos
+        at = at[(x == 0) & ~done]
+    return out
+
+
+def masses(near: np.ndarray, z: np.ndarray, c: np.ndarray) -> dict[int, np.ndarray]:
+    """The tokens by state, for each number of bits shared with the end of a range."""
+    out = {}
+    for depth in np.unique(near[c > 0]):
+        own = (near == depth) & (c > 0)
+        out[int(depth)] = np.bincount(z[own], c[own], CLASSES + 1)
+    return out
+
+
+@dataclass
+class Range:
+    """Words of one range in order, a row for each state: h, z, c, n, c_word, the words with their ends and the masses at both sides."""
+
+    words: list[bytes]
+    h: np.ndarray
+    z: np.ndarray
+    c: np.ndarray
+    n: np.ndarray
+    c_word: np.ndarray
+
+
+def read_range(batch: pa.RecordBatch, i: int) -> Range:
+    get = lambda k: np.frombuffer(batch.column(batch.schema.get_field_index(k))[i].as_py(), np.int64)
+    data, stops = batch.column(batch.schema.get_field_index("data"))[i].as_py(), np.cumsum(get("lens")).tolist()
+    return Range([data[a:b] for a, b in zip([0, *stops], stops)], *(get(k) for k in ("h", "z", "c", "n", "c_word")))
+
+
+def word_ranges(words: DataFrame, n_rows: int) -> tuple[DataFrame, dict]:
+    """A row for each range of the words' order, and for each range the (word, tokens by state) that stand for all words outside it."""
+    ends: list[bytes] = []
+    if n_rows > RANGE_ROWS:
+        drawn = words.where(F.pmod(F.xxhash64("h"), F.lit(max(1, RANGE_ROWS // DRAWN))) == 0).select("word").toArrow()["word"].to_pylist()  # DRAWN for each range
+        ends = sorted({full(w)[:END_BYTES] for w in sorted(drawn, key=full)[DRAWN::DRAWN]})
+
+    def place(batches):
+        for batch in batches:
+            g = np.array([bisect.bisect_right(ends, full(w)) for w in batch.column(2).to_pylist()], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(g), *batch.columns], names=["g", *batch.schema.names])
+
+    def pack(group: pa.Table) -> pa.Table:
+        g = group["g"][0].as_py()
+        ws, z = [full(w) for w in group["word"].to_pylist()], group["z"].to_numpy()
+        order = sorted(range(len(ws)), key=lambda i: (ws[i], z[i]))
+        ws, cols = [ws[i] for i in order], {k: group[k].to_numpy()[order] for k in ("h", "z", "c", "n", "c_word")}
+        out = {"g": pa.array([g]), "data": pa.array([b"".join(ws)], pa.binary()), "lens": pa.array([np.array([len(w) for w in ws], np.int64).tobytes()], pa.binary())}
+        out |= {k: pa.array([np.ascontiguousarray(v, np.int64).tobytes()], pa.binary()) for k, v in cols.items()}
+        # the bits shared with an end are the least bits that neighbours share on the way there
+        for side, end in (("left", ends[g - 1] if g else None), ("right", ends[g] if g < len(ends) else None)):
+            found = {}
+            if end is not None:
+                way = [end, *ws] if side == "left" else [*ws, end]
+                same = np.array([False] + [a == b for a, b in zip(way, way[1:])])
+                shared = np.where(same, 1 << 40, common_bits(way))[1:]
+                near = np.minimum.accumulate(shared) if side == "left" else np.minimum.accumulate(shared[::-1])[::-1]
+                found = masses(np.minimum(near, 8 * len(end)), cols["z"], cols["c"])
+            out[side] = pa.array([pickle.dumps(found)], pa.binary())
+        return pa.table(out)
+
+    names = ["g", "data", "lens", "h", "z", "c", "n", "c_word", "left", "right"]
+    schema = "g long, " + ", ".join(f"{k} binary" for k in names[1:])
+    placed = words.select("h", "z", "word", "c", "n", "c_word").mapInArrow(place, "g long, h long, z long, word binary, c long, n long, c_word long")
+    ranges = staged(run_groups(placed, ["g"], pack, schema), "lm-ranges")
+    sides = {r["g"]: (pickle.loads(r["left"]), pickle.loads(r["right"])) for r in ranges.select("g", "left", "right").collect()}  # a row for each range
+    outside: dict[int, list] = {g: [] for g in range(len(ends) + 1)}
+    shared = lambda a, b: int(common_bits([a, b])[1])
+    held: dict[int, np.ndarray] = {}
+    for g in range(1, len(ends) + 1):  # all words before this range, by the bits shared with its first end
+        moved: dict[int, np.ndarray] = {}
+        if g > 1:
+            q = shared(ends[g - 2], ends[g - 1])
+            for depth, mass in held.items():
+                moved[min(depth, q)] = moved.get(min(depth, q), 0) + mass
+        for depth, mass in sides.get(g - 1, ({}, {}))[1].items():
+            moved[depth] = moved.get(depth, 0) + mass
+        held = moved
+        outside[g] += [(beginning(ends[g - 1], depth, 0), mass) for depth, mass in held.items()]
+    held = {}
+    for g in range(len(ends) - 1, -1, -1):  # all words after it
+        moved = {}
+        if g < len(ends) - 1:
+            q = shared(ends[g], ends[g + 1])
+            for depth, mass in held.items():
+                moved[min(depth, q)] = moved.get(min(depth, q), 0) + mass
+        for depth, mass in sides.get(g + 1, ({}, {}))[0].items():
+            moved[depth] = moved.get(depth, 0) + mass
+        held = moved
+        outside[g] += [(beginning(ends[g], depth, 1), mass) for depth, mass in held.items()]
+    return ranges.drop("left", "right"), outside
+
+
+def beginning(end: bytes, depth: int, bit: int) -> bytes:
+    """The first bits of an end, and one more bit; the end itself where no bits are left."""
+    if depth >= 8 * len(end):
+        return end
+    out = bytearray(end[: depth // 8 + 1])
+    place = 7 - depth % 8
+    out[-1] = (out[-1] >> (place + 1) << (place + 1)) | bit << place
+    return bytes(out)
+
+
+def whole_counts(r: Range, outside: list) -> tuple[np.ndarray, np.ndarray]:
+    """(2, bytes, 8) exact training counts of the bit that each word has and of the other one, after the same beginning: in the word's state, and in all states."""
+    kinds = CLASSES + 2
+    names = sorted({*r.words, *(w for w, _ in outside)})
+    number = {w: i for i, w in enumerate(names)}
+    of = np.array([number[w] for w in r.words], np.int64)
+    own = np.zeros((len(names), kinds))
+    np.add.at(own, (of, r.z), r.c)
+    for w, mass in outside:
+        own[number[w], :-1] += mass
+    own[:, -1] = own[:, :-1].sum(1)
+    before = np.concatenate([np.zeros((1, kinds)), np.cumsum(own, 0)])
+    shared = common_bits(names)
+    lens = np.array([len(w) for w in r.words])
+    first = 8 * (np.cumsum(lens) - lens)
+    other = np.zeros((2, 8 * int(lens.sum())))
+    rows = np.arange(len(of))
+    lo, hi = np.zeros(1, np.int64), np.array([len(names)])
+    while len(lo):  # words that share a beginning: they part at the least bits that neighbours share
+        keep = hi - lo > 1
+        lo, hi = lo[keep], hi[keep]
+        if not len(lo):
+            break
+        size = hi - lo - 1
+        at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(lo + 1, size)
+        least = np.minimum.reduceat(shared[at], np.cumsum(size) - size)
+        mid = at[shared[at] == np.repeat(least, size)]
+        node = np.searchsorted(lo, of[rows], "right") - 1
+        inside = (node >= 0) & (of[rows] < hi[np.maximum(node, 0)])
+        rows, node = rows[inside], node[inside]
+        sides = np.stack([before[mid] - before[lo], before[hi] - before[mid]])
+        far = 1 - (of[rows] >= mid[node])
+        to = first[rows] + least[node]
+        other[0, to], other[1, to] = sides[far, node, r.z[rows]], sides[far, node, -1]
+        lo, hi = np.stack([lo, mid], 1).ravel(), np.stack([mid, hi], 1).ravel()
+    total = np.stack([before[-1, r.z], before[-1, np.full(len(of), kinds - 1)]])
+    gone = np.cumsum(other, 1)
+    gone -= np.repeat(gone[:, first] - other[:, first], 8 * lens, 1)
+    same = np.repeat(total, 8 * lens, 1) - gone
+    return same.reshape(2, -1, 8), other.reshape(2, -1, 8)
+
+
+def context_counts(words: DataFrame, bits: tuple[int, ...]) -> np.ndarray:
     """Counts of zeros (low half) and ones (high half) of each slot, as uint32: made smaller together where one of them would not fit."""
-    width = -(-int(BASE[-1]) // SLICES)
+    width = -(-sum(1 << b for b in bits) // SLICES)
 
     def run(batches):
         counts = np.zeros(2 * SLICES * width, np.float32)
@@ -238,15 +437,11 @@ def context_counts(words: DataFrame, heavy: float) -> np.ndarray:
             for lo in range(0, len(ws), 4 * WORDS_AT_ONCE):
                 s = spelling(ws[lo : lo + 4 * WORDS_AT_ONCE], zs[lo : lo + 4 * WORDS_AT_ONCE])
                 c = cs[lo : lo + 4 * WORDS_AT_ONCE][s.of]
-                known = c >= heavy
                 for bit in range(8):
-                    at, y = slots_at(s, bit)
+                    at, y = slots_at(s, bit, bits)
                     at = 2 * at + y
-                    for k in range(ORDERS):
-                        if k < ORDERS - 2:
-                            np.add.at(counts, at[k], c)
-                        else:
-                            np.add.at(counts, at[k][known], c[known])
+                    for k in range(len(bits)):
+                        np.add.at(counts, at[k], c)
         counts = counts.reshape(-1, 2)
         for i in range(SLICES):
             part = counts[i * width : (i + 1) * width]
@@ -265,7 +460,7 @@ def context_counts(words: DataFrame, heavy: float) -> np.ndarray:
 
     parts = words.select("word", "c", "z").coalesce(PARTS).mapInArrow(run, "slice long, at binary, counts binary")
     out = np.zeros(SLICES * width, np.uint32)
-    for row in run_groups(parts, ["slice"], add, "slice long, counts binary").collect():  # of fixed size: the model
+    for row in run_groups(parts, ["slice"], add, "slice long, counts binary").collect():  # the model: SLICES rows
         out[row["slice"] * width : (row["slice"] + 1) * width] = np.frombuffer(row["counts"], "<u4")
     return out
 
@@ -276,7 +471,7 @@ class Mixer:
     weights: np.ndarray  # (GATES, ORDERS + 1)
     ones: np.ndarray  # (GATES, CELLS) of the refinement
     seen: np.ndarray
-    heavy: float
+    bits: tuple[int, ...]
 
     def __getstate__(self):  # most slots are empty on small inputs
         return self.__dict__ | {"counts": zlib.compress(self.counts.tobytes(), 1)}
@@ -285,24 +480,30 @@ class Mixer:
         self.__dict__.update(state | {"counts": np.frombuffer(zlib.decompress(state["counts"]), np.uint32)})
 
 
-def new_mixer(counts: np.ndarray, heavy: float) -> Mixer:
+def new_mixer(counts: np.ndarray, scale: float, bits: tuple[int, ...] = BITS) -> Mixer:
+    """Untrained weights times scale. bits: of the tables in counts."""
     # more weight on the whole word, the more of it has been seen; by level of the whole word, then of the last five bytes
     w = np.zeros((5, 5, ORDERS + 1))
     w[0, :, :5] = [0.0, 0.05, 0.1, 0.3, 0.6]
     w[0, :, 6] = 0.1
     for level, (five, whole, bare) in enumerate([(0.4, 0.4, 0.1), (0.2, 0.75, 0.05), (0.05, 0.95, 0.0), (0.0, 1.0, 0.0)], 1):
         w[level, :, 4:7] = five, whole, bare
-    return Mixer(counts, w.reshape(GATES, ORDERS + 1), np.zeros((GATES, CELLS)), np.zeros((GATES, CELLS)), heavy)
+    return Mixer(counts, scale * w.reshape(GATES, ORDERS + 1), np.zeros((GATES, CELLS)), np.zeros((GATES, CELLS)), bits)
 
 
 def _level(n: np.ndarray) -> np.ndarray:
     return (n > 0).astype(np.int64) + (n > 2) + (n > 15) + (n > 200)
 
 
-def bit_inputs(m: Mixer, at: np.ndarray, y: np.ndarray | None, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(ORDERS + 1, bytes) stretched predictions and the gates. With y each count is taken without one sight of y."""
+def bit_inputs(m: Mixer, at: np.ndarray, y: np.ndarray | None, known: np.ndarray, whole: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(ORDERS + 1, bytes) stretched predictions and the gates. With y each count is taken without one sight of y.
+
+    whole: the counts of zeros and of ones in the contexts of whole words, where the tables do not have them.
+    """
     both = m.counts[at]
     n0, n1 = (both & np.uint32(0xFFFF)).astype(np.float32), (both >> np.uint32(16)).astype(np.float32)
+    if whole is not None:
+        n0, n1 = np.concatenate([n0, whole[0]]), np.concatenate([n1, whole[1]])
     if y is not None:
         n0 -= (y == 0) & (n0 > 0)
         n1 -= (y == 1) & (n1 > 0)
@@ -328,23 +529,31 @@ def refined(m: Mixer, s: np.ndarray, gate: np.ndarray) -> np.ndarray:
     return np.clip((1 / (1 + np.exp(-s)) + p) / 2, 1e-6, 1 - 1e-6)
 
 
-def learn(words: DataFrame, m: Mixer) -> Mixer:
+def sides_of(same: np.ndarray, other: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """(2, 2, bytes) counts of zeros and of ones, from those of the bits y and of their opposites."""
+    return np.stack([np.where(y == 0, same, other), np.where(y == 0, other, same)]).astype(np.float32)
+
+
+def learn(ranges: DataFrame, outside: dict, m: Mixer) -> Mixer:
     """Weights and refinement, learned online over all training words in each part; parts are averaged by their tokens."""
-    sent = words.sparkSession.sparkContext.broadcast(m)
+    sent, around = (ranges.sparkSession.sparkContext.broadcast(x) for x in (m, outside))
 
     def run(batches):
-        own = Mixer(sent.value.counts, sent.value.weights.copy(), np.zeros((GATES, CELLS)), np.zeros((GATES, CELLS)), sent.value.heavy)
+        own = Mixer(sent.value.counts, sent.value.weights.copy(), np.zeros((GATES, CELLS)), np.zeros((GATES, CELLS)), sent.value.bits)
         m1, m2, step, tokens = np.zeros_like(own.weights), np.zeros_like(own.weights), 0, 0.0
-        for batch in batches:
-            ws, cs, zs = batch.column(0).to_pylist(), batch.column(1).to_numpy().astype(np.float64), batch.column(2).to_numpy()
-            for lo in range(0, len(ws), WORDS_AT_ONCE):
-                s = spelling(ws[lo : lo + WORDS_AT_ONCE], zs[lo : lo + WORDS_AT_ONCE])
-                c = cs[lo : lo + WORDS_AT_ONCE][s.of]
-                tokens += cs[lo : lo + WORDS_AT_ONCE].sum()
+        for r, same, other, first in with_counts(batches, around.value):
+            rows = np.flatnonzero(r.c > 0)
+            np.random.default_rng(len(rows)).shuffle(rows)
+            for lo in range(0, len(rows), WORDS_AT_ONCE):
+                part = rows[lo : lo + WORDS_AT_ONCE]
+                s = spelling([r.words[i] for i in part], r.z[part])
+                at_byte = np.arange(len(s.data)) - np.searchsorted(s.of, s.of) + first[part][s.of]
+                c = r.c[part].astype(np.float64)[s.of]
+                tokens += r.c[part].sum()
                 weight = c / c.sum()
                 for bit in range(8):
-                    at, y = slots_at(s, bit)
-                    x, gate = bit_inputs(own, at, y, c - 1 >= own.heavy)
+                    at, y = slots_at(s, bit, own.bits)
+                    x, gate = bit_inputs(own, at, y, np.ones(len(y), bool), sides_of(same[:, at_byte, bit], other[:, at_byte, bit], y))
                     z = mix(own, x, gate)
                     cell = np.rint((z + 11) * ((CELLS - 1) / 22)).astype(np.int64) + gate * CELLS
                     own.ones += np.bincount(cell, c * y, GATES * CELLS).reshape(GATES, CELLS)
@@ -358,26 +567,36 @@ def learn(words: DataFrame, m: Mixer) -> Mixer:
         if tokens:
             yield pa.RecordBatch.from_arrays([pa.array([tokens])] + [pa.array([a.astype(np.float64).tobytes()], pa.binary()) for a in (own.weights, own.ones, own.seen)], names=["tokens", "weights", "ones", "seen"])
 
-    rows = words.select("word", "c", "z").coalesce(PARTS).mapInArrow(run, "tokens double, weights binary, ones binary, seen binary").collect()  # a row for each part
+    rows = ranges.coalesce(PARTS).mapInArrow(run, "tokens double, weights binary, ones binary, seen binary").collect()  # a row for each part
     if not rows:
         return m
     total = sum(r["tokens"] for r in rows)
     get = lambda r, k, shape: np.frombuffer(r[k], np.float64).reshape(shape)
     weights = sum(get(r, "weights", (GATES, ORDERS + 1)) * (r["tokens"] / total) for r in rows)
     ones, seen = (sum(get(r, k, (GATES, CELLS)) for r in rows) for k in ("ones", "seen"))
-    return Mixer(m.counts, weights, ones, seen, m.heavy)
+    return Mixer(m.counts, weights, ones, seen, m.bits)
+
 
+def with_counts(batches, outside: dict):
+    """Each range with the counts of whole words and the first byte of each of its rows."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            r = read_range(batch, i)
+            lens = np.array([len(w) for w in r.words])
+            yield r, *whole_counts(r, outside[batch.column(0)[i].as_py()]), np.cumsum(lens) - lens
+    release()
 
-def spell_costs(m: Mixer, words: list[bytes], z: np.ndarray) -> np.ndarray:
-    """log10 probability of each word in its state."""
-    out = np.zeros(len(words))
-    for lo in range(0, len(words), 4 * WORDS_AT_ONCE):
+
+def spell_costs(m: Mixer, r: Range, same: np.ndarray, other: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """log10 probability of each word of a range in its state."""
+    out = np.zeros(len(r.words))
+    for lo in range(0, len(r.words), 4 * WORDS_AT_ONCE):
         own = slice(lo, lo + 4 * WORDS_AT_ONCE)
-        s = spelling(words[own], z[own])
-        n = len(words[own])
+        s = spelling(r.words[own], r.z[own])
+        n, here = len(r.words[own]), slice(first[lo], first[lo] + len(s.data))
         for bit in range(8):
-            at, y = slots_at(s, bit)
-            x, gate = bit_inputs(m, at, None, np.ones(len(y), bool))
+            at, y = slots_at(s, bit, m.bits)
+            x, gate = bit_inputs(m, at, None, np.ones(len(y), bool), sides_of(same[:, here, bit], other[:, here, bit], y))
             p = refined(m, mix(m, x, gate), gate)
             out[lo : lo + n] += np.bincount(s.of, np.log10(np.where(y == 1, p, 1 - p)), n)
     return out
@@ -388,22 +607,28 @@ def scores(docs: DataFrame, training: str = "training") -> DataFrame:
     spark = docs.sparkSession
     classes = ending_classes(ending_pairs(docs, training))
     words = staged(word_counts(docs, classes, training), "lm-words")
-    total = words.agg(F.sum("c"), F.sum("n"), F.sum((F.col("lead") & (F.col("c_word") > 0)).cast("long"))).first()
-    n_train, n_all, v = (int(x or 0) for x in total)
-    heavy = max(1.0, n_train / HEAVY)
+    total = words.agg(F.sum("c"), F.sum("n"), F.sum((F.col("lead") & (F.col("c_word") > 0)).cast("long")), F.count(F.lit(1))).first()
+    n_train, n_all, v, n_rows = (int(x or 0) for x in total)
     trained = words.where("c > 0")
-    model = learn(trained, new_mixer(context_counts(trained, heavy), heavy))
-    sent = spark.sparkContext.broadcast(model)
+    bits = table_bits(trained)
+    counts = context_counts(trained, bits)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.set(key, min(BATCH_BYTES, int(spark.conf.get(key, str(BATCH_BYTES)).lower().rstrip("b"))))
+    ranges, outside = word_ranges(words, n_rows)
+    unstage(words)
+    model = learn(ranges, outside, new_mixer(counts, 1.0, bits))
+    sent, around = (spark.sparkContext.broadcast(x) for x in (model, outside))
     norm = math.log10(n_train + v + 1)
 
     def cost(batches):
-        for batch in batches:
-            z, c = batch.column(1).to_numpy(), batch.column(3).to_numpy()
-            p = spell_costs(sent.value, batch.column(2).to_pylist(), z)
-            key = _signed(batch.column(0).to_numpy().view(U64) ^ _STATES[z])
-            yield pa.RecordBatch.from_arrays([pa.array(key), batch.column(3), batch.column(4), pa.array(np.log10(c + 1.0) - norm), pa.array(p)], names=["h", "c", "n", "base", "cost"])
+        for r, same, other, first in with_counts(batches, around.value):
+            p = spell_costs(sent.value, r, same, other, first)
+            key = _signed(r.h.view(U64) ^ _STATES[r.z])
+            for lo in range(0, len(p), 50_000):
+                part = slice(lo, lo + 50_000)
+                yield pa.RecordBatch.from_arrays([pa.array(x[part]) for x in (key, r.c_word, r.n, np.log10(r.c_word + 1.0) - norm, p)], names=["h", "c", "n", "base", "cost"])
 
-    priced = staged(words.select("h", "z", "word", "c_word", "n").mapInArrow(cost, "h long, c long, n long, base double, cost double"), "lm-costs")
+    priced = staged(ranges.mapInArrow(cost, "h long, c long, n long, base double, cost double"), "lm-costs")
     top = priced.where(F.col("n") >= n_all / TOP).select("h", "c", "base", "cost").toArrow().sort_by("h")  # at most TOP rows: their counts add up to n_all at most
     table = spark.sparkContext.broadcast(tuple(top[k].to_numpy() for k in ("h", "c", "base", "cost")))
 
