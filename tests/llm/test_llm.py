@@ -1,9 +1,11 @@
 """The text operators against brute force, exact round trips and held-out accuracy, and their edge cases."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -324,19 +326,36 @@ def test_links_of_embeddings(spark, monkeypatch):
     assert all(a <= b for i in want for a, b in zip(by[i], want[i]))
 
 
-def test_top_k_is_exact(spark, monkeypatch):
-    monkeypatch.setattr(topk, "SHARD_ROWS", 64)
-    monkeypatch.setattr(topk, "QUERY_ROWS", 2)
-    monkeypatch.setattr(topk, "LEAF_ROWS", 8)
-    rows = vectors()
+def same_top_k(spark, rows, kind):
+    """Against brute force in Python's integers."""
+    names = "vec_id long, embedding array<%s>, shard string, score int, dim double" % kind
     got = {}
-    for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 4 == 0, 5).collect():
+    for r in topk.top_k(spark.createDataFrame([(*r, "x", 1, 0.5) for r in rows], names), F.col("vec_id") % 4 == 0, 5).collect():
         got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
-    z = [(i, np.floor(256 * np.array(v, float)).astype(int)) for i, v in rows if v and None not in v and np.isfinite(v).all()]
+    z = [(i, [math.floor(Fraction(float(x)) * 256) for x in v]) for i, v in rows if v is not None and None not in v and np.isfinite(v).all()]
     for i, q in z:
         if i % 4 == 0:
-            want = sorted({(-int(q @ v), j) for j, v in z if j != i and len(v) == len(q)})[:5]
-            assert sorted(got.get(i, [])) == [(k, j, -s) for k, (s, j) in enumerate(want, 1)]
+            want = sorted({(-sum(a * b for a, b in zip(q, v)), j) for j, v in z if j != i and len(v) == len(q)})[:5]
+            assert sorted(got.get(i, [])) == [(k, j, max(-topk.LONG, min(topk.LONG, -s))) for k, (s, j) in enumerate(want, 1)]
+
+
+@pytest.mark.parametrize("size", [1e6, 1e8, 1e13, 1e200, 1e308])
+def test_top_k_of_large_components(spark, monkeypatch, size):
+    monkeypatch.setattr(topk, "SHARD_ROWS", 16)
+    monkeypatch.setattr(topk, "LEAF_ROWS", 4)
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(60, 3)) * np.where(rng.random((60, 1)) < 0.5, 1.0, size / 4)
+    x = np.clip(x, -1.7e308, 1.7e308)
+    same_top_k(spark, [(i, v.tolist()) for i, v in enumerate([*x, *(x[:6] * (1 + 1e-15))])], "double")
+
+
+def test_top_k_is_exact(spark, monkeypatch):
+    for name, small in (("SHARD_ROWS", 64), ("LEAF_ROWS", 8), ("BOXES", 3), ("ASKED", 4), ("ASKS", 2), ("SAMPLE", 100)):
+        monkeypatch.setattr(topk, name, small)
+    rows = [*vectors(), (408, []), (412, []), (416, [])]
+    same_top_k(spark, rows, "float")
+    monkeypatch.setattr(topk, "SEND_BYTES", 0)
+    same_top_k(spark, rows, "float")
     assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.lit(True)).count() == 0
     assert caps.link(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 

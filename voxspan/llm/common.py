@@ -22,11 +22,19 @@ CHUNK_BYTES = 1_000_000
 ARROW_ROWS = 2000
 
 
+#: Bytes of an Arrow batch.
+ARROW_BYTES = 16 << 20
+
+
 def small_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches of this session, unless they are bounded below already."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > ARROW_ROWS:
-        spark.conf.set(key, ARROW_ROWS)
+    """Bound the Arrow batches of this session, unless they are bounded below already.
+
+    Plans read these settings when they run, after the operator has returned, so they stay.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)):
+        now = int(str(spark.conf.get(key)).lower().rstrip("b"))
+        if now <= 0 or now > most:
+            spark.conf.set(key, most)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +46,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; one of its own only where none is set, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="voxspan-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
