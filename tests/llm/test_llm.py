@@ -275,6 +275,16 @@ def test_chat_round_trip(spark):
     assert text.count("<|turn|>") == text.count("<|end|>") == len(said) and "[INST]" not in text and "</s>" not in text
 
 
+def test_chat_of_a_very_long_turn_and_rows_without_conversation(spark):
+    part, n = 'a"b\n</s> \\x', 2_300_000
+    rows = spark.range(1).select(F.lit(7).alias("conv_id"), F.lit(0).alias("turn"), F.lit("assistant").alias("role"), F.repeat(F.lit(part), n).alias("text"))
+    none = spark.createDataFrame([(None, 0, "assistant", "x"), (None, 0, "assistant", "x"), (None, 1, None, None)], "conv_id int, turn int, role string, text string")
+    got = chat.conversation_digests(chat.format_records(chat.records_of(rows.union(none)))).collect()
+    long = next(r for r in got if r.conv_id == 7)
+    assert (long.n_turns, long.loss_chars) == (1, len(part) * n) and long.loss_sha256 == hashlib.sha256((part * n).encode()).hexdigest()
+    assert sorted(r.loss_chars for r in got if r.conv_id is None) == [0, 1, 1]
+
+
 def test_chat_layouts(spark):
     records = {
         '{"messages":[{"role":"human","content":"a","x":{"y":1}},{"role":"bot","content":null}],"id":3}': ("messages", ["user", "assistant"]),
@@ -284,10 +294,21 @@ def test_chat_layouts(spark):
         '{"messages":[]}': ("messages", []),
         "no json": (None, None),
         '{"meta":{"messages":[{"role":"a","content":"b"}]}}': (None, None),
+        '{"messages":[{"content":"a","meta":{"a":{"b":[{"c":{"d":1}}]}},"role":"user"},{"role":"bot","content":["x",":"]}]}': ("messages", ["user", "assistant"]),
+        '{"x":{"a":{"b":{"c":{"d":{"e":{"f":{"g":{"h":{"i":{"j":1}}}}}}}}}},"prompt":"a, \\"response\\": {","response":"r"}': ("prompt_response", ["user", "assistant"]),
+        '{"prompt":"p","response":"cut': (None, None),
+        '{"messages":7}': (None, None),
+        '[{"prompt":"p","response":"r"}]': (None, None),
+        None: (None, None),
     }
-    df = spark.createDataFrame([(r,) for r in records], "record string")
-    for r in chat.format_records(df).collect():
-        assert (r.layout, r.turns and [t.role for t in r.turns] if r.turns else r.turns) == records[r.record]
+    df = spark.createDataFrame([(r, "x", 1) for r in records], "record string, layout string, turns int")
+    out = chat.format_records(df)
+    for r in out.collect():
+        assert (r.layout, r.turns and [t.role for t in r.turns] if r.turns else r.turns) == records[r.record], r.record
+    assert sorted(out.columns) == ["fingerprint", "formatted", "layout", "loss_spans", "record", "turns"]
+    assert chat.format_records(df.where("false")).count() == 0
+    told = spark.createDataFrame([('{"a":[{"b":[[{"c":1}]],"d":"x\\"{"}],"e":{}}',)], "r string").select(chat.field_paths(F.col("r"))).first()[0]
+    assert told == ["a", "a[]", "a[].b", "a[].b[]", "a[].b[][]", "a[].b[][].c", "a[].d", "e"]
     same = [r[0] for r in spark.createDataFrame([('{"a":1,"b":[{"c":"x"}]}',), ('{"b":[{"c":"y"}],"a":2}',)], "r string").select(chat.fingerprint(F.col("r"))).collect()]
     assert same[0] == same[1]
 

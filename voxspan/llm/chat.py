@@ -1,8 +1,10 @@
 """Chat formatting: records of many layouts become canonical turns, and turns become a marked text with a loss mask.
 
-A record is a JSON text. Its fingerprint is a hash of its nested field paths (types and values left out), which selects a
-declarative mapping: a list of (role, path) for layouts with a field for each turn, or the path of the list of turns
-with the names of its role and content fields.
+A record is a JSON text. Its fingerprint is a hash of the set of its nested field paths (types and values left out). The
+distinct fingerprints of a table are held against the layouts once each, by the paths that a layout needs, which gives a
+small table from fingerprint to layout; records meet their layout by a join on the fingerprint. A layout is a declarative
+mapping: a list of (role, path) for those with a field for each turn, or the path of the list of turns with the names of
+its role and content fields.
 
 The text marks turns with <|turn|> and <|end|>. A control string inside a role or text gets a backslash after its first
 character, and one more if backslashes stand there already, so no text holds a marker and the change can be undone.
@@ -10,9 +12,11 @@ The loss mask is a list of spans: the number of the turn and the start and lengt
 turn's part of the text.
 
 All of it is DataFrame functions. Edge cases: null texts are empty; turns without a role have an empty role; a record of
-an unknown layout, or one that is no JSON, has null turns; an empty list of turns gives an empty text; repeated turns stay
-and are ordered by turn, role and text; extra fields of a record change its fingerprint, so layouts are matched by the
-paths they need.
+an unknown layout, or one that is no JSON object, has null turns; an empty list of turns gives an empty text; an empty table
+gives no rows; repeated turns stay and are ordered by turn, role and text; a row without conv_id is a conversation of its
+own; records may be as long and as deep as a string can be; extra fields of a record change its fingerprint and not its
+layout; of a field that occurs twice the first counts, and field names must be written without escapes; columns of the
+input with the names of the result's are replaced, all others are passed on.
 """
 
 from __future__ import annotations
@@ -22,6 +26,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import staged
+
 TURN, END = "<|turn|>", "<|end|>"
 #: What common chat templates read as control strings, the first character and the rest; none stands inside another.
 _FIRST, _REST = r"([<\[])", r"\\*(?:\|[A-Za-z_]+\|>|/?s>|/?SYS>|(?:start|end)_of_turn>|/?INST\])"
@@ -53,37 +59,59 @@ LAYOUTS = (
 )
 
 
-def layout_key(record: Column) -> Column:
-    """The nested field names of a JSON text, in a fixed order, without types: for example `{messages:[{content:*,role:*}]}`."""
-    kind = F.schema_of_variant(F.try_parse_json(record))
-    kind = F.regexp_replace(kind, r"OBJECT<", "{")
-    kind = F.regexp_replace(kind, r"ARRAY<", "[")
-    kind = F.regexp_replace(kind, r"(?<=[:\[])\s*(?:[A-Z_]+(?:\([0-9, ]*\))?)(?=[,>]|$)", "*")
-    return F.regexp_replace(kind, r"\s", "")
+#: Options of the JSON parser: no bound on the length of a string, or on depth.
+_PARSER = {"maxStringLen": "2147483647", "maxNestingDepth": "1000000", "maxNumLen": "2147483647"}
+_SEND_ROWS = 100_000
 
 
-def fingerprint(record: Column) -> Column:
-    return F.xxhash64(layout_key(record))
+def field_paths(record: Column) -> Column:
+    """The set of nested field paths of a JSON text, in order: for example messages, messages[], messages[].content, messages[].role."""
+    # escapes go first, so that a quote always ends a string; then all but brackets and field names goes
+    bare = F.regexp_replace(record, r"(?s)\\.", "")
+    bare = F.regexp_replace(bare, r'("[^"]*"\s*:)|"[^"]*"|[^\[\]{}"]+', "$1")
+    tokens = F.regexp_extract_all(bare, F.lit(r'"[^"]*"|[\[\]{}]'), F.lit(0))
+    state = F.struct(F.array().cast("array<string>").alias("open"), F.lit("").alias("at"), F.array().cast("array<string>").alias("seen"))
+
+    def step(s, token):
+        within = F.coalesce(F.element_at(s["open"], F.greatest(F.size(s["open"]), F.lit(1))), F.lit(""))
+        name = F.substr(token, F.lit(2), F.length(token) - 2)
+        field = F.when(F.size(s["open"]) > 1, F.concat(within, F.lit("."), name)).otherwise(name)
+        each = F.concat(s["at"], F.lit("[]"))
+        kept = F.slice(s["open"], F.lit(1), F.greatest(F.size(s["open"]) - 1, F.lit(0)))
+        below = F.coalesce(F.get(kept, F.size(kept) - 1), F.lit(""))
+
+        def to(opened, at, seen):
+            return F.struct(opened.alias("open"), at.alias("at"), seen.alias("seen"))
+
+        return (
+            F.when(token == "{", to(F.concat(s["open"], F.array(s["at"])), s["at"], s["seen"]))
+            .when(token == "[", to(F.concat(s["open"], F.array(each)), each, F.array_union(s["seen"], F.array(each))))
+            .when(token.isin("}", "]"), to(kept, below, s["seen"]))
+            .otherwise(to(s["open"], field, F.array_union(s["seen"], F.array(field))))
+        )
+
+    return F.array_sort(F.aggregate(tokens, state, step, lambda s: s["seen"]))
 
 
-#: Records nested deeper than this are matched by their outer levels.
-_DEPTH = 8
+def fingerprint(record: Column) -> Column:
+    return F.xxhash64(field_paths(record))
 
 
-def _top_fields(key: Column) -> Column:
-    """The layout key of a record's own fields, nested ones left out: for example `messages:*,id:*`."""
-    key = F.regexp_replace(key, r"^\{|>$", "")
-    for _ in range(_DEPTH):
-        key = F.regexp_replace(key, r"[\[{][^\[{>]*>", "*")
-    return key
+def layout_of(paths: Column) -> Column:
+    """The name of the first layout whose paths are among those given; a list of turns may also be empty."""
+    name = F.lit(None).cast("string")
+    for layout in reversed(LAYOUTS):
+        fits = F.size(F.array_except(F.array(*[F.lit(p) for p in layout.needs]), paths)) == 0
+        if layout.list_path:
+            each = f"{layout.list_path}[]"
+            within = F.exists(paths, _begins(each + "."))
+            fits = F.array_contains(paths, each) & (fits | ~within)
+        name = F.when(fits, F.lit(layout.name)).otherwise(name)
+    return name
 
 
-def _has(key: Column, top: Column, path: str) -> Column:
-    """Whether a layout key holds a path: a field of the record, or one of the objects in a list of it (or the list is empty)."""
-    if "[]." not in path:
-        return top.rlike(f"(?:^|,){path}:")
-    name, field = path.split("[].")
-    return key.rlike(name + r":\[(?:\*>|\{(?:[^{}\[>]|[\[{][^\[{>]*>)*\b" + field + ":)")
+def _begins(text: str):
+    return lambda x: x.startswith(text)
 
 
 def _turn_of(layout: Layout):
@@ -97,22 +125,18 @@ def _turn_of(layout: Layout):
     return turn
 
 
-def canonical_turns(record: Column, key: Column) -> tuple[Column, Column]:
-    """(layout name, turns) of a JSON record with the given layout key."""
-    value, top = F.try_parse_json(record), _top_fields(key)
-    name, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS_TYPE)
-    for layout in reversed(LAYOUTS):
-        fits = F.lit(True)
-        for path in layout.needs:
-            fits = fits & _has(key, top, path)
+def canonical_turns(record: Column, name: Column) -> Column:
+    """The turns of a JSON record of the named layout; null if it is no JSON object."""
+    fields = F.from_json(record, "map<string,string>", _PARSER)
+    turns = F.lit(None).cast(TURNS_TYPE)
+    for layout in LAYOUTS:
         if layout.list_path:
-            own = F.try_variant_get(value, f"$.{layout.list_path}", f"array<struct<{layout.role_field}:string,{layout.text_field}:string>>")
+            own = F.from_json(fields[layout.list_path], f"array<struct<`{layout.role_field}`:string,`{layout.text_field}`:string>>", _PARSER)
             own = F.transform(own, _turn_of(layout))
         else:
-            own = F.array(*[F.struct(F.lit(role).alias("role"), F.coalesce(F.try_variant_get(value, f"$.{path}", "string"), F.lit("")).alias("text")) for role, path in layout.turns])
-        fits = F.coalesce(fits & own.isNotNull(), F.lit(False))
-        name, turns = F.when(fits, F.lit(layout.name)).otherwise(name), F.when(fits, own).otherwise(turns)
-    return name, turns
+            own = F.array(*[F.struct(F.lit(role).alias("role"), F.coalesce(fields[path], F.lit("")).alias("text")) for role, path in layout.turns])
+        turns = F.when(name == layout.name, F.when(fields.isNotNull(), own)).otherwise(turns)
+    return turns
 
 
 def escape(text: Column) -> Column:
@@ -169,11 +193,24 @@ def loss_text(formatted: Column, spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: unescape(F.substr(F.get(parts, s["turn"]), s["start"] + F.lit(1), s["length"]))), "")
 
 
+def layouts_of(shapes: DataFrame) -> DataFrame:
+    """fingerprint, layout: one row for each distinct fingerprint. shapes: fingerprint, paths."""
+    return shapes.groupBy("fingerprint").agg(F.min("paths").alias("paths")).select("fingerprint", layout_of(F.col("paths")).alias("layout"))
+
+
 def format_records(df: DataFrame, record: str = "record") -> DataFrame:
     """df with fingerprint, layout, turns, formatted and loss_spans of its JSON records."""
-    df = df.withColumn("_key", layout_key(F.col(record))).withColumn("fingerprint", F.xxhash64("_key"))
-    name, turns = canonical_turns(F.col(record), F.col("_key"))
-    df = df.withColumn("layout", name).withColumn("turns", turns).drop("_key")
+    own = ("fingerprint", "layout", "turns", "formatted", "loss_spans")
+    df = df.withColumn("__record", F.col(f"`{record}`").cast("string"))
+    df = df.drop(*[c for c in own if c != record])
+    paths = field_paths(F.col("__record"))
+    table = staged(layouts_of(df.select(paths.alias("paths")).select(F.xxhash64("paths").alias("fingerprint"), "paths")), "chat-layouts")
+    table = table.withColumnRenamed("fingerprint", "__print").withColumnRenamed("layout", "__layout")
+    # as many rows as there are shapes; beyond the bound they are joined by a shuffle
+    table = F.broadcast(table) if table.count() <= _SEND_ROWS else table
+    df = df.withColumn("__own", F.xxhash64(paths)).join(table, F.col("__own") == F.col("__print"), "left")
+    df = df.withColumn("fingerprint", F.col("__own")).withColumn("layout", F.col("__layout")).withColumn("turns", canonical_turns(F.col("__record"), F.col("__layout")))
+    df = df.drop("__own", "__print", "__layout", "__record").withColumn("layout", F.when(F.col("turns").isNotNull(), F.col("layout")))
     text, spans = format_turns(F.col("turns"))
     return df.withColumn("formatted", text).withColumn("loss_spans", spans)
 
@@ -181,7 +218,9 @@ def format_records(df: DataFrame, record: str = "record") -> DataFrame:
 def records_of(rows: DataFrame) -> DataFrame:
     """conv_id, record: the JSON record, in the layout with a list of messages, of each conversation's rows (conv_id, turn, role, text)."""
     turn = F.struct(F.col("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("content"))
-    whole = rows.groupBy(F.col("conv_id").cast("long").alias("conv_id")).agg(F.sort_array(F.collect_list(turn)).alias("messages"))
+    rows = rows.select(F.col("conv_id").cast("long").alias("conv_id"), turn.alias("turn"))
+    whole = rows.where("conv_id is not null").groupBy("conv_id").agg(F.sort_array(F.collect_list("turn")).alias("messages"))
+    whole = whole.union(rows.where("conv_id is null").select("conv_id", F.array("turn")))
     messages = F.transform("messages", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content")))
     return whole.select("conv_id", F.to_json(F.struct(messages.alias("messages"))).alias("record"))
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import staged, table
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,10 +35,10 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chat import conversation_digests, format_records, records_of
 
-    records = records_of(table(spark, sf_dir, "conversations"))
+    records = records_of(table(spark, sf_dir, "conversations"))  # a shuffle, read twice
     said = "</s>[INST] ok [/INST]"
     own = spark.range(1).select(F.lit(-1).cast("long").alias("conv_id"), F.to_json(F.struct(F.lit(said).alias("prompt"), F.lit(said).alias("response"))).alias("record"))
-    return conversation_digests(format_records(records.unionByName(own)))
+    return conversation_digests(format_records(staged(records.unionByName(own), "chat-records")))
 
 
 def op4_spherical_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
