@@ -168,6 +168,28 @@ def test_lines_are_those_of_brute_force(spark, monkeypatch, few):
     assert linededup.dedup_lines(docs(spark, [])).count() == 0
 
 
+def test_lines_that_share_a_polynomial_hash_stay(spark, monkeypatch):
+    """Thue-Morse lines have equal hashes modulo 2^64 and differ in every place."""
+    a = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    b = a.translate(str.maketrans("ab", "ba"))
+    lines = linededup.Lines([a, b])
+    assert lines.hashes(lines.start, lines.length)[0] == lines.hashes(lines.start, lines.length)[1]
+    got = {r.doc_id: (r.text, r.n_removed) for r in linededup.dedup_lines(docs(spark, [a, b, a])).collect()}
+    assert got == {0: (a, 0), 1: (b, 0), 2: ("", 1)}
+
+
+@pytest.mark.parametrize("sent", [1000, 0])
+def test_lines_of_rows_without_or_with_equal_ids(spark, monkeypatch, sent):
+    monkeypatch.setattr(linededup, "SEND_ROWS", sent)
+    monkeypatch.setattr(linededup, "SEND_BYTES", sent)
+    x, y = "a line that is long enough", "and some other line of the text"
+    rows = docs(spark, [x, x + "\n" + y, y, "z\n" + x, x, x], [None, None, 5, 5, 7, 7])
+    got = linededup.dedup_lines(rows.withColumn("n_lines", F.lit("old")).withColumn("_gone", F.lit(1)))
+    told = sorted((r.doc_id or 0, r.text) for r in got.collect())
+    assert "".join(t for _, t in told).count(x) == 1 and "".join(t for _, t in told).count(y) == 1 and len(told) == 6
+    assert "n_lines" in got.columns and "lang" in got.columns
+
+
 # --- 10 and 7 -------------------------------------------------------------------------------------------------------
 
 

@@ -5,15 +5,19 @@ into tau + 1 segments, and a line that is at most tau longer has one of them at
 difference in length allow. So segments are posted under (length, number, hash), each line probes the substrings that
 can match, and what meets is verified by a banded bit-parallel edit distance over code points.
 
-A distinct line takes part once. Of equal lines only the first occurrence stays, by doc_id and line number; a line with
-a near copy that occurs earlier goes everywhere. Lines under min_chars code points always stay.
+A distinct line takes part once; lines are told apart by a cryptographic digest of 128 bits of their whole text, near ones
+by their texts. Of equal lines only the first occurrence stays, by doc_id, hash of the document's text and line number;
+a line with a near copy that occurs earlier goes everywhere. Lines under min_chars code points always stay.
 
-Edge cases: null texts stay null and empty ones empty; rows with equal doc_id count as one document, so none of them
-loses lines to the other; a null doc_id comes before all others; other columns are passed on.
+Edge cases: null texts stay null and empty ones empty; rows with equal doc_id and text count as one document, so none of
+them loses lines to the other; a null doc_id comes before all others; other columns are passed on, but for n_lines and
+n_removed, which are replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -63,9 +67,17 @@ class Lines:
         self.sums = np.concatenate([[U64(0)], np.cumsum(terms, dtype=U64)])
 
     def hashes(self, start: np.ndarray, length: np.ndarray | int) -> np.ndarray:
-        """Hash of the code points at each span; equal wherever it stands."""
+        """Hash of the code points at each span; equal wherever it stands. For candidates only: different spans may share it."""
         return (self.sums[start + length] - self.sums[start]) * _tables[1][start]
 
+    def digests(self, own) -> np.ndarray:
+        """(lines, 2) longs of a cryptographic digest of each line."""
+        spans = zip(self.start[own].tolist(), self.length[own].tolist())
+        return np.frombuffer(b"".join(hashlib.blake2b(self.points[s : s + n].tobytes(), digest_size=16).digest() for s, n in spans), "<i8").reshape(-1, 2)
+
+    def said(self, own) -> list[str]:
+        return [self.points[s : s + n].tobytes().decode("utf-32-le", "surrogatepass") for s, n in zip(self.start[own].tolist(), self.length[own].tolist())]
+
 
 def segment(l: np.ndarray, i: int, tau: int) -> tuple[np.ndarray, np.ndarray]:
     """Start and length of segment i (from 0) of lines of length l: the longer segments come last."""
@@ -147,21 +159,23 @@ def within(a: list[str], b: list[str], tau: int) -> np.ndarray:
 
 
 def line_rows(docs: DataFrame, tau: int, min_chars: int) -> DataFrame:
-    """doc_id, line (number), h (hash), keys (what to post, then what to probe; 8 bytes each) for each line of min_chars or more."""
+    """doc_id, t (hash of the text), line (number), h and g (digest), keys (what to post, then what to probe; 8 bytes each) for each line of min_chars or more."""
 
     def run(batches):
         for batch in batches:
             for lo, texts in text_slices(batch, 1, 500_000):
                 lines = Lines(texts)
                 own = np.flatnonzero(lines.length >= max(min_chars, tau + 1))
-                ids = batch.column(0).slice(lo, len(texts)).take(pa.array(np.repeat(np.arange(len(texts)), lines.per_text)[own]))
-                h = mixed(lines.hashes(lines.start[own], lines.length[own]) ^ lines.length[own].astype(U64))
+                of = pa.array(np.repeat(np.arange(len(texts)), lines.per_text)[own])
+                ids, t = (batch.column(i).slice(lo, len(texts)).take(of) for i in (0, 2))
+                h = lines.digests(own)
                 keys = np.ascontiguousarray(np.concatenate(keys_of(lines, own, tau), 1)).astype("<u8")
                 blob = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * keys.shape[1]), len(own), [None, pa.py_buffer(keys.tobytes())]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([ids, pa.array(lines.number[own].astype(np.int32)), pa.array(h.view(np.int64)), blob], names=["doc_id", "line", "h", "keys"])
+                yield pa.RecordBatch.from_arrays([ids, t, pa.array(lines.number[own].astype(np.int32)), pa.array(h[:, 0]), pa.array(h[:, 1]), blob], names=["doc_id", "t", "line", "h", "g", "keys"])
         release()
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, line int, h long, keys binary")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("t", F.xxhash64("text"))
+    return rows.mapInArrow(run, "doc_id long, t long, line int, h long, g long, keys binary")
 
 
 def posted(classes: DataFrame, tau: int, probes: bool) -> DataFrame:
@@ -180,21 +194,21 @@ def posted(classes: DataFrame, tau: int, probes: bool) -> DataFrame:
 
 
 def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """h, line text of the wanted hashes (h)."""
+    """h, g, line text of the wanted digests (h)."""
 
     def run(batches):
         for batch in batches:
             for _, texts in text_slices(batch, 0, 500_000):
                 lines = Lines(texts)
                 own = np.flatnonzero(lines.length > 0)
-                h, at = np.unique(mixed(lines.hashes(lines.start[own], lines.length[own]) ^ lines.length[own].astype(U64)), return_index=True)
-                said = [lines.points[s : s + n].tobytes().decode("utf-32-le", "surrogatepass") for s, n in zip(lines.start[own[at]], lines.length[own[at]], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(said, pa.string())], names=["h", "said"])
+                h = lines.digests(own)
+                _, at = np.unique(h[:, 0] ^ h[:, 1] << 1, return_index=True) if len(own) else (None, own)
+                yield pa.RecordBatch.from_arrays([pa.array(h[at, 0]), pa.array(h[at, 1]), pa.array(lines.said(own[at]), pa.string())], names=["h", "g", "said"])
         release()
 
-    every = docs.select(F.col("text").cast("string")).where("text is not null").mapInArrow(run, "h long, said string")
+    every = docs.select(F.col("text").cast("string")).where("text is not null").mapInArrow(run, "h long, g long, said string")
     few = wanted.count() <= SEND_ROWS
-    return every.join(F.broadcast(wanted) if few else wanted, "h").groupBy("h").agg(F.min("said").alias("said"))
+    return every.join(F.broadcast(wanted) if few else wanted, "h").groupBy("h", "g").agg(F.min("said").alias("said"))  # equal texts
 
 
 def later_of(said: list[str], posts: np.ndarray, side: np.ndarray | None, tau: int) -> np.ndarray:
@@ -223,78 +237,79 @@ def later_of(said: list[str], posts: np.ndarray, side: np.ndarray | None, tau: i
 
 
 def near_lines(docs: DataFrame, classes: DataFrame, tau: int) -> DataFrame:
-    """h of the distinct lines that have a line within tau whose first occurrence is earlier.
+    """h, g of the distinct lines that have a line within tau whose first occurrence is earlier.
 
-    Keys that one line alone has are left out first.
+    Keys that one line alone has are left out first. Candidates are known by h; texts and results by h and g.
     """
     post, probe = posted(classes, tau, False), posted(classes, tau, True)
-    other = post.select(F.col("key").alias("own"), F.col("h").alias("g")).hint("shuffle_hash")
-    found = staged(probe.join(other, (F.col("key") == F.col("own")) & (F.col("h") != F.col("g")), "left_semi").distinct(), "lines-met")
+    other = post.select(F.col("key").alias("own"), F.col("h").alias("its")).hint("shuffle_hash")
+    found = staged(probe.join(other, (F.col("key") == F.col("own")) & (F.col("h") != F.col("its")), "left_semi").distinct(), "lines-met")
     keys = found.select(F.col("key").alias("own")).distinct()
     few = keys.count() <= SEND_ROWS
     met = found.withColumn("post", F.lit(False)).union(post.join(F.broadcast(keys) if few else keys, F.col("key") == F.col("own"), "left_semi").withColumn("post", F.lit(True)))
     met = staged(met.groupBy("key", "h").agg(F.max("post").alias("post")), "lines-meeting")
     wanted = met.select("h").distinct()
-    first = classes.select("h", F.col("first.doc_id").alias("doc_id"), F.col("first.line").alias("line"))
-    said = staged(_texts_of(docs, wanted).join(first, "h"), "lines-said")
+    first = classes.select("h", "g", "first.*")
+    said = staged(_texts_of(docs, wanted).join(first, ["h", "g"]), "lines-said")
     crowd = met.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     met = met.join(crowd, "key")
     return few_lines(met, said, tau).union(many_lines(met, said, tau)).distinct()
 
 
 def few_lines(met: DataFrame, said: DataFrame, tau: int) -> DataFrame:
-    """h of the later lines, from keys with few lines: their pairs are compared once each, in large batches."""
+    """h, g of the later lines, from keys with few lines: their pairs are compared once each, in large batches."""
     groups = met.where(F.col("n") <= FEW_LINES).groupBy("key").agg(F.collect_list(F.struct("h", "post")).alias("x"))
     pairs = groups.select("x", F.posexplode("x").alias("i", "a")).select("a", F.explode(F.expr(f"slice(x, i + 2, {FEW_LINES})")).alias("b")).where("a.post or b.post")
     pairs = pairs.select(F.least("a.h", "b.h").alias("ha"), F.greatest("a.h", "b.h").alias("hb")).distinct()
     for e in "ab":
-        pairs = pairs.join(said.select(F.col("h").alias(f"h{e}"), F.col("said").alias(f"said_{e}"), F.struct("doc_id", "line", "h").alias(f"at_{e}")), f"h{e}")
-    pairs = pairs.select(F.when(F.col("at_a") > F.col("at_b"), F.col("ha")).otherwise(F.col("hb")).alias("h"), "said_a", "said_b")
+        pairs = pairs.join(said.select(F.col("h").alias(f"h{e}"), F.col("said").alias(f"said_{e}"), F.struct("doc_id", "t", "line", "h", "g").alias(f"at_{e}")), f"h{e}")
+    pairs = pairs.select(F.greatest("at_a", "at_b").alias("at"), "said_a", "said_b").select("at.h", "at.g", "said_a", "said_b")
 
     def check(batches):
         for batch in batches:
-            ok = pa.array(within(batch.column(1).to_pylist(), batch.column(2).to_pylist(), tau))
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok)], names=["h"])
+            ok = pa.array(within(batch.column(2).to_pylist(), batch.column(3).to_pylist(), tau))
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(ok) for i in (0, 1)], names=["h", "g"])
 
-    return pairs.mapInArrow(check, "h long")
+    return pairs.mapInArrow(check, "h long, g long")
 
 
 def many_lines(met: DataFrame, said: DataFrame, tau: int) -> DataFrame:
-    """h of the later lines, from keys with many lines: in pairs of blocks, which give a row for each line at most."""
+    """h, g of the later lines, from keys with many lines: in pairs of blocks, which give a row for each line at most."""
     entries = met.where(F.col("n") > FEW_LINES).select("key", "h", "post", F.ceil(F.col("n") / BLOCK_LINES).alias("blocks")).join(said, "h")
-    dealt = block_pairs(entries, ["key"], "h", "blocks").select("key", "lo", "hi", "side", "h", "post", "doc_id", "line", "said")
+    dealt = block_pairs(entries, ["key"], "h", "blocks").select("key", "lo", "hi", "side", "h", "g", "post", "doc_id", "t", "line", "said")
 
     def check(group: pa.Table) -> pa.Table | None:
         if group.num_rows < 2:
             return None
-        # nulls come before all other doc_ids; two lines cannot stand at one place, but rows with equal doc_id can: then the smaller hash stays
-        group = group.sort_by([("line", "ascending"), ("h", "ascending")])
+        # nulls come before all other doc_ids
+        group = group.sort_by([(c, "ascending") for c in ("t", "line", "h", "g")])
         ids = group["doc_id"].fill_null(np.iinfo(np.int64).min).to_numpy()
         group = group.take(pa.array(np.argsort(ids, kind="stable")))
         side = group["side"].to_numpy() if group["lo"][0].as_py() != group["hi"][0].as_py() else None
         goes = later_of(group["said"].to_pylist(), group["post"].to_numpy(), side, tau)
-        return pa.table({"h": group["h"].to_numpy()[goes]}) if goes.any() else None
+        return pa.table({c: group[c].to_numpy()[goes] for c in "hg"}) if goes.any() else None
 
-    return run_groups(dealt, ["key", "lo", "hi"], check, "h long")
+    return run_groups(dealt, ["key", "lo", "hi"], check, "h long, g long")
 
 
 def removed_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -> DataFrame:
-    """doc_id, line, h of every line that goes."""
+    """doc_id, t, line, h, g of every line that goes."""
     lines = staged(line_rows(docs, tau, min_chars), "lines")
-    classes = staged(lines.groupBy("h").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count(F.lit(1)).alias("times"), F.max("keys").alias("keys")), "lines-classes")
+    classes = staged(lines.groupBy("h", "g").agg(F.min(F.struct("doc_id", "t", "line")).alias("first"), F.count(F.lit(1)).alias("times"), F.max("keys").alias("keys")), "lines-classes")
     later = near_lines(docs, classes, tau).withColumn("goes", F.lit(True))
-    touched = classes.select("h", "first", "times").join(later, "h", "left").where("times > 1 or goes")
+    touched = classes.select("h", "g", "first", "times").join(later, ["h", "g"], "left").where("times > 1 or goes")
     touched = staged(touched, "lines-touched")
-    found = lines.select("doc_id", "line", "h").join(F.broadcast(touched) if touched.count() <= SEND_ROWS else touched, "h")
-    return found.where(F.coalesce("goes", F.lit(False)) | ~F.struct("doc_id", "line").eqNullSafe(F.col("first"))).select("doc_id", "line", "h").distinct()
+    found = lines.select("doc_id", "t", "line", "h", "g").join(F.broadcast(touched) if touched.count() <= SEND_ROWS else touched, ["h", "g"])
+    return found.where(F.coalesce("goes", F.lit(False)) | ~F.struct("doc_id", "t", "line").eqNullSafe(F.col("first"))).select("doc_id", "t", "line", "h", "g").distinct()
 
 
 def dedup_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -> DataFrame:
     """docs with the lines taken out of `text`, and n_lines, n_removed."""
-    gone = removed_lines(docs, tau, min_chars).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("line", "h"))).alias("_gone"))
-    gone = staged(gone.withColumnRenamed("doc_id", "_gone_of"), "lines-gone")
-    size = gone.agg(F.sum(F.size("_gone") * 24 + 32)).first()[0] or 0
-    joined = docs.join(F.broadcast(gone) if size <= SEND_BYTES else gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_gone_of")), "left").drop("_gone_of")
+    gone = removed_lines(docs, tau, min_chars).groupBy("doc_id", "t").agg(F.sort_array(F.collect_list(F.struct("line", "h", "g"))).alias("_gone"))  # of one text
+    gone = staged(gone.withColumnRenamed("doc_id", "_gone_of").withColumnRenamed("t", "_gone_text"), "lines-gone")
+    size = gone.agg(F.sum(F.size("_gone") * 32 + 40)).first()[0] or 0
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_gone_of")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_gone_text"))
+    joined = docs.drop("_gone", "_gone_of", "_gone_text").join(F.broadcast(gone) if size <= SEND_BYTES else gone, same, "left").drop("_gone_of", "_gone_text")
     joined = joined.drop("n_lines", "n_removed")  # columns of these names are replaced
     names = joined.columns
     text_at, gone_at = names.index("text"), names.index("_gone")
@@ -310,8 +325,9 @@ def dedup_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) ->
                 r.append(0)
                 if t and g:
                     lines = Lines([t])
-                    h = mixed(lines.hashes(lines.start, lines.length) ^ lines.length.astype(U64)).view(np.int64)
-                    drop = {x["line"] for x in g if x["line"] < len(h) and h[x["line"]] == x["h"]}
+                    listed = np.array([x["line"] for x in g if x["line"] < len(lines.start)], np.int64)
+                    own = dict(zip(listed.tolist(), map(tuple, lines.digests(listed).tolist())))
+                    drop = {x["line"] for x in g if own.get(x["line"]) == (x["h"], x["g"])}
                     texts[k] = "\n".join(x for i, x in enumerate(t.split("\n")) if i not in drop)
                     r[-1] = len(drop)
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in passed] + [pa.array(texts, pa.string()), pa.array(n, pa.int32()), pa.array(r, pa.int32())], names=[names[i] for i in passed] + ["text", "n_lines", "n_removed"])
