@@ -349,24 +349,49 @@ def vectors():
 
 def test_links_of_embeddings(spark, monkeypatch):
     monkeypatch.setattr(caps, "BLOCK_VECTORS", 16)
-    rows = vectors()
-    got = caps.link(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    rng = np.random.default_rng(6)
+    short = rng.normal(size=(30, 5))
+    short[10:20] = short[:10] + rng.normal(size=(10, 5)) * 0.01
+    rows = [*vectors(), *[(500 + i, v.astype(np.float32).tolist()) for i, v in enumerate(short)], (540, []), (541, [-3.0, 4.0]), (542, [2.0])]
+    table = spark.createDataFrame([(*r, 1, 2, "x") for r in rows], "vec_id long, embedding array<float>, dim int, filter int, component string")
+    got = caps.link(table).collect()
     assert len(got) == len(rows)
-    good = [(i, np.array(v)) for i, v in rows if v and len(v) == 16 and None not in v and np.isfinite(v).all() and any(v)]
-    u = np.stack([v / np.linalg.norm(v) for _, v in good])
-    near = u @ u.T >= 0.9
-    np.fill_diagonal(near, False)
-    want = {}
-    for (i, _), row in zip(good, near, strict=True):
-        want.setdefault(i, []).append(int(row.sum()))
+    good = [(i, np.array(v, float)) for i, v in rows if v and None not in v and np.isfinite(v).all() and any(v)]
+    near = np.zeros((len(good), len(good)), bool)
+    for a, (_, v) in enumerate(good):
+        for b, (_, w) in enumerate(good):
+            near[a, b] = a != b and len(v) == len(w) and v @ w >= 0.9 * np.linalg.norm(v) * np.linalg.norm(w)
+    ids = np.array([i for i, _ in good])
+    want, root = near.sum(1), ids.copy()
+    for _ in range(len(ids)):
+        root = np.minimum(root, np.where(near, root[None, :], 1 << 40).min(1))
     by = {}
     for r in got:
-        by.setdefault(r.vec_id, []).append(r.n_links)
-    for i in (400, 401, 402, 403, 405):
-        assert by[i] == [0]
-    found, true = sum(sum(by[i]) for i in want), sum(map(sum, want.values()))
-    assert 0.9 * true <= found <= true
-    assert all(a <= b for i in want for a, b in zip(by[i], want[i]))
+        by.setdefault(r.vec_id, []).append((r.n_links, r.component_id, r.kept))
+    for i in (400, 401, 402, 403, 540, 541, 542):
+        assert by[i] == [(0, i, True)]
+    found = {int(i): by[int(i)][0][0] for i in ids}
+    assert 0.97 * want.sum() <= sum(by[int(i)][0][0] for i in ids) <= want.sum()
+    whole = all(found[int(i)] == n for i, n in zip(ids, want))
+    for i, n, c in zip(ids, want, root):
+        assert found[int(i)] <= n and by[int(i)][0][2] == (by[int(i)][0][1] == i) and (not whole or by[int(i)][0][1] == c)
+    assert sum(found[i] for i in range(500, 530)) == near[ids >= 500].sum()
+
+
+def test_filters_keep_their_recall(monkeypatch):
+    rng = np.random.default_rng(1)
+    a = rng.normal(size=(300, 64))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    b = rng.normal(size=(300, 64))
+    b -= (b * a).sum(1)[:, None] * a
+    b = 0.9 * a + math.sqrt(1 - 0.81) * b / np.linalg.norm(b, axis=1)[:, None]
+    for n in (500, 50_000, 2_000_000):
+        met = np.zeros(300, bool)
+        for i in range(caps.CODES):
+            code = caps.ProductCode(64, n, 19 + i)
+            mine, theirs = (set(zip(*map(np.ndarray.tolist, code.filters(x)))) for x in (a, b))
+            met[[r for r, _ in mine & theirs]] = True
+        assert met.mean() > 0.94, n
 
 
 def same_top_k(spark, rows, kind):

@@ -238,11 +238,23 @@ def block_pairs(df: DataFrame, key: list[str], member: str, blocks: str) -> Data
     )
 
 
+#: A node of a graph is a hub from so many neighbours on, and so that at most HUBS of them are.
+HUB, HUBS = 1000, 100_000
+
+
+def _to_least(edges: DataFrame, end: str, least: DataFrame, limit: int) -> DataFrame:
+    """a, b, m of edges: with what least (u, m, n neighbours) says of one end. Hubs, a bounded number, are sent to all tasks; a join deals the rest."""
+    hubs = F.broadcast(least.where(F.col("n") > limit).select("u", "m"))
+    met = edges.join(hubs, F.col(end) == F.col("u"))
+    rest = edges.join(hubs, F.col(end) == F.col("u"), "left_anti")
+    return met.select("a", "b", "m").union(rest.join(least.where(F.col("n") <= limit).select("u", "m"), F.col(end) == F.col("u")).select("a", "b", "m"))
+
+
 def components(edges: DataFrame, tag: str = "cc", most: int = 60) -> DataFrame:
     """(id, component) for every end of the edges (a, b): the smallest id reachable.
 
     Alternating large and small stars; each round is written to the shared folder, so lineage stays short.
-    Minima are pre-aggregated, hence a hub costs one row for each task. Raises if it has not settled after `most` rounds.
+    Minima are pre-aggregated, and hubs meet theirs without a shuffle. Raises if it has not settled after `most` rounds.
     """
     e = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     e = staged(e, tag)
@@ -252,13 +264,14 @@ def components(edges: DataFrame, tag: str = "cc", most: int = 60) -> DataFrame:
         if mark[0] == 0 or mark == before:
             break
         before = mark
+        limit = max(HUB, -(-2 * mark[0] // HUBS))
         both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
+        low = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"), "n")
         # large star: each larger neighbour moves to the smallest one
-        large = e.join(low, e.b == low.u).select(F.col("a"), F.col("m").alias("b")).where("a <> b").union(low.where("u <> m").select("u", "m")).distinct()
+        large = _to_least(e, "b", low, limit).select("a", F.col("m").alias("b")).where("a <> b").union(low.where("u <> m").select("u", "m")).distinct()
         # small star: each end below moves to the smallest one below
-        least = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u")
-        small = large.join(least, large.a == least.u).select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).withColumnRenamed("a", "u")
+        small = _to_least(large, "a", least, limit).select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
         after = staged(small, tag)
         unstage(e)
         e = after
