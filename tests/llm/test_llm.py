@@ -79,7 +79,7 @@ def test_near_duplicates_are_those_of_brute_force(spark, k):
 
 def test_near_duplicates_of_hot_groups_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK_DOCS", 8)
-    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 1500)
+    monkeypatch.setattr(minhash, "SEND_IDS", 0)
     rng = random.Random(2)
     base = [f"b{i}" for i in range(100)]
     texts = [" ".join(base)] + [" ".join(w if j != rng.randrange(100) else f"e{n}" for j, w in enumerate(base)) for n in range(60)]
@@ -94,6 +94,42 @@ def test_near_duplicates_edge_tables(spark):
     assert sorted((r.doc_id, r.component_id) for r in got if r.doc_id is not None) == [(3, 3), (3, 3)] and len(got) == 3
 
 
+def test_near_duplicates_in_long_lists(spark, monkeypatch):
+    """Lists of many blocks, with groups that do not connect and some that connect by their middle alone."""
+    monkeypatch.setattr(minhash, "BLOCK_DOCS", 4)
+    rng = random.Random(8)
+    base = [f"b{i}" for i in range(60)]
+    texts = []
+    for n in range(70):
+        words = list(base)
+        for j in rng.sample(range(60), rng.choice([1, 2, 3, 6, 9])):
+            words[j] = f"e{n}.{j}"
+        texts.append(" ".join(words))
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs(spark, texts), k=4).collect()}
+    want = {i: c for i, (_, c) in enumerate(brute_groups(texts, 4))}
+    assert 3 < len(set(want.values())) < 60 and sum(got[i] != want[i] for i in want) == 0
+
+
+def test_collisions_are_those_of_brute_force():
+    rng = np.random.default_rng(0)
+    sig = rng.integers(0, 3, (80, 12))
+    sig[40:60] = sig[:20]
+    got = {(i, j) for i, js in minhash.collisions(sig, 7) for j in js.tolist()}
+    assert got == {(i, j) for i in range(80) for j in range(i + 1, 80) if (sig[i] == sig[j]).sum() >= 7}
+
+
+def test_one_row_of_each_group_stays(spark, monkeypatch):
+    """By rows, not by ids: ids repeat and are null; whole rows repeat."""
+    a, b, c = ("a b c d e f g h i j", "k l m n o p q r s t", "u v w x y z 1 2 3 4")
+    rows = docs(spark, [a, b, a, a, c, c, None, "", b, c], [1, 1, 2, 2, 3, 3, 4, 4, None, None])
+    for sent in (100, 0):
+        monkeypatch.setattr(minhash, "SEND_IDS", sent)
+        got = minhash.first_of_each(rows.withColumn("times", F.lit(1)).withColumn("component", F.lit("x")))
+        assert sorted((r.doc_id, r.text or "") for r in got.collect()) == [(1, a), (1, b), (3, c), (4, ""), (4, "")]
+        assert got.columns == [*rows.columns, "times", "component"]
+    assert minhash.first_of_each(rows.where("false")).count() == 0
+
+
 # --- 2 --------------------------------------------------------------------------------------------------------------
 
 
