@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 
 from voxspan.llm.common import staged, table
 
-SEND_IDS = 1_000_000
-
 
 def _like(df: DataFrame, docs: DataFrame) -> DataFrame:
     return df.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in docs.schema])
@@ -37,14 +35,10 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that share 80 of 100 five-word shingles, directly or by others, the one with the smallest doc_id stays."""
-    from voxspan.llm.minhash import near_duplicates
-
-    found = near_duplicates(docs, k=5, percent=80)
-    gone = staged(found.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct(), "pipeline-gone")
-    # up to so many ids are sent to all tasks; more are joined by a shuffle
-    gone = F.broadcast(gone) if gone.count() <= SEND_IDS else gone
-    return _like(docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti"), docs)
+    """Of documents that share 80 of 100 five-word shingles, directly or by others, one row stays: that with the smallest doc_id."""
+    from voxspan.llm.minhash import first_of_each
+
+    return _like(first_of_each(docs, k=5, percent=80), docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
