@@ -91,6 +91,11 @@ def leaf_features(leaves: DataFrame, cfg: FeatureConfig = FeatureConfig(), keep:
     return df.select(*(keep or []), *ordered)
 
 
+def feature_vector(rows: DataFrame, names: list[str]) -> Column:
+    """The features of the given names, as doubles in their order; a name that rows have no column for counts as 0."""
+    return F.array(*[d(n) if n in rows.columns else F.lit(0.0) for n in names])
+
+
 def weak_labels(leaves: DataFrame, cfg: WeakLabelConfig = WeakLabelConfig()) -> DataFrame:
     """Leaves with label and probability by rule: floors are free, slopes above them stairs, and what stands above is in the way."""
     nx, ny, nz = (d(f"normal_{a}") for a in AXES)

@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -16,6 +16,8 @@ from .features import FEATURE_COLUMNS, NOT_INPUTS
 FOREST_SCHEMA = "forest string, tree int, node int, left int, right int, feature int, threshold float, values array<float>"
 INPUTS = [c for c in FEATURE_COLUMNS if c not in NOT_INPUTS]
 CLASSES = 3
+#: Slices of a class in split_rows(), in bits of the hash.
+SLICE_BITS = 12
 
 
 # --- training rows --------------------------------------------------------------------------------------------------
@@ -49,11 +51,26 @@ def check_training(rows: DataFrame, least: int = 1, least_per_class: int = 2) ->
 
 
 def split_rows(rows: DataFrame, share: float, keys: list[str], label: str = "label", seed: int = 42) -> DataFrame:
-    """Adds `test`: about `share` of each class, the rows with the smallest hashes."""
+    """Adds `test`: of all rows ceil(n * share), dealt to the classes by their size (the largest remainders round up, the
+    smaller label first), and of each class those with the smallest hashes of the keys; rows with equal keys in any order.
+
+    Rows are ranked within slices of the hash, and the sizes of a class's slices before are added, so no class is sorted in one task.
+    """
     if not 0 < share < 0.5:
         raise ValueError("the share of test rows is between 0 and 0.5")
-    # a threshold on the hash instead of a rank: no class is sorted in one task
-    return rows.withColumn("test", F.pmod(F.xxhash64(F.lit(seed), label, *keys), F.lit(1_000_000)) < int(share * 1_000_000))
+    h = F.xxhash64(F.lit(seed), label, *keys)
+    sliced = rows.withColumn("_h", h).withColumn("_slice", F.shiftright("_h", 64 - SLICE_BITS))
+    sizes = sliced.groupBy(label, "_slice").agg(F.count(F.lit(1)).alias("_n"))  # 2 ** SLICE_BITS rows for a class
+    by_class = sizes.groupBy(label).agg(F.sum("_n").alias("_of"))  # a row for each class
+    every = by_class.withColumn("_all", F.sum("_of").over(Window.partitionBy()))
+    every = every.withColumn("_test", F.ceil(F.col("_all") * F.lit(share))).withColumn("_exact", F.col("_of") * F.col("_test") / F.col("_all"))
+    left = F.col("_test") - F.sum(F.floor("_exact")).over(Window.partitionBy())
+    place = F.row_number().over(Window.orderBy(F.desc(F.col("_exact") - F.floor("_exact")), label))
+    quota = every.withColumn("_quota", F.floor("_exact") + (place <= left).cast("long")).select(label, "_quota")
+    before = F.sum("_n").over(Window.partitionBy(label).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select(label, "_slice", F.coalesce(before, F.lit(0)).alias("_before")).join(F.broadcast(quota), label)
+    rank = F.row_number().over(Window.partitionBy(label, "_slice").orderBy("_h")) - 1
+    return sliced.withColumn("_rank", rank).join(sizes, [label, "_slice"]).withColumn("test", F.col("_rank") + F.col("_before") < F.col("_quota")).drop("_h", "_slice", "_rank", "_before", "_quota")
 
 
 # --- training and tables of trees -----------------------------------------------------------------------------------
@@ -67,7 +84,10 @@ class Forests:
 
 
 def train(rows: DataFrame, inputs: list[str], trees: int = 300, least: int = 2, depth: int = 12, seed: int = 42) -> Forests:
-    """A classifier of the label, with classes weighed alike, and a regressor of the probability."""
+    """A classifier of the label, with classes weighed alike, and a regressor of the probability.
+
+    Spark grows trees level by level to a depth of 30 at most; `depth` may be set that far.
+    """
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import RandomForestRegressor
@@ -85,8 +105,19 @@ def train(rows: DataFrame, inputs: list[str], trees: int = 300, least: int = 2,
 def importances(model: Forests, spark: SparkSession, most: int = 15) -> DataFrame:
     """The most important inputs of both forests."""
     rows = [(forest, name, float(v)) for forest, m in (("classifier", model.classifier), ("regressor", model.regressor)) for name, v in zip(model.inputs, m.featureImportances.toArray(), strict=True)]
-    df = spark.createDataFrame(rows, "forest string, feature string, importance double")
-    return df.where(F.col("forest") == "classifier").orderBy(F.desc("importance"), "feature").limit(most).unionByName(df.where(F.col("forest") == "regressor").orderBy(F.desc("importance"), "feature").limit(most))
+    return top_inputs(spark.createDataFrame(rows, "forest string, feature string, importance double"), most)
+
+
+def top_inputs(rows: DataFrame, most: int = 15) -> DataFrame:
+    """The `most` rows (forest, feature, importance) of each forest with the highest importance, by name on ties."""
+    order = Window.partitionBy("forest").orderBy(F.desc("importance"), "feature")
+    return rows.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= most).drop("_k")
+
+
+def facts(table: DataFrame) -> DataFrame:
+    """What a table of trees (FOREST_SCHEMA) holds: trees, nodes, leaves and the highest input of each forest."""
+    leaf = F.col("left") < 0
+    return table.groupBy("forest").agg(F.countDistinct("tree").alias("trees"), F.count(F.lit(1)).alias("nodes"), F.count_if(leaf).alias("leaves"), F.coalesce(F.max(F.when(~leaf, F.col("feature"))), F.lit(-1)).alias("highest_feature"))
 
 
 def forest_table(model: Forests, spark: SparkSession) -> DataFrame:

@@ -18,15 +18,14 @@ from ..config import OBSTACLE, STAIR, OctreeConfig, PlannerConfig
 from ..functions.components import smallest_reachable
 from ..functions.geometry import AXES, d, extent, max_extent
 from .neighbors import stair_like, traversal_info
-from .octree import locate
+from .octree import in_order, locate
 
 NODE = ["leaf_id", "label", "probability", "is_cross_floor", "room_id", "entity_id", "dynamic", "depth", *[f"{s}_{a}" for s in ("min", "max") for a in AXES], *[f"c{a}" for a in AXES]]
 
 
 def with_leaf_id(leaves: DataFrame, cfg: OctreeConfig) -> DataFrame:
     """leaf_id: numbers in depth-first order, so that the smallest id is the first leaf."""
-    order = [F.expr(f"shiftleft(path, cast(3 * ({cfg.max_depth} - depth) as int))"), "depth"]
-    return leaves.withColumn("leaf_id", F.row_number().over(Window.partitionBy("frame_id").orderBy(*order)) - 1)
+    return in_order(leaves, cfg, "leaf_id")
 
 
 def traversable(cfg: PlannerConfig, prefix: str = "") -> Column:
@@ -140,7 +139,7 @@ def near_floor(z: Column, cfg: PlannerConfig) -> Column:
     return floor_gap(z, cfg) <= max(0.0, cfg.stair_floor_exit_tolerance) if cfg.constrain_stair_exits else F.lit(True)
 
 
-def _enters(cfg: PlannerConfig, s: str, f: str, entering: Column) -> Column:
+def _enters(cfg: PlannerConfig, s: str, f: str) -> Column:
     """Whether walking between a stair leaf (columns s) and a free leaf (columns f) follows the staircase (columns st_)."""
     reach = F.greatest(F.lit(cfg.stair_endpoint_tolerance), extent("z", s) * 1.5)
     floor_reach = F.greatest(F.lit(cfg.stair_floor_connection_max_vertical), extent("z", f) * 1.5)
@@ -151,7 +150,7 @@ def _enters(cfg: PlannerConfig, s: str, f: str, entering: Column) -> Column:
     run = F.sqrt(ox * ox + oy * oy)
     along_up = F.try_divide(ox * F.col("st_up_x") + oy * F.col("st_up_y"), run)
     # the foot is left against the direction up, the head along it, and both are entered the other way round
-    follows = F.when(at_low & (entering | ~at_high | F.lit(True)), -along_up).otherwise(along_up) >= cfg.stair_direction_dot_min
+    follows = F.when(at_low, -along_up).otherwise(along_up) >= cfg.stair_direction_dot_min
 
     def beside(e: str, sign: int) -> Column:
         rx, ry = F.col(f"{f}cx") - F.col(f"st_{e}_x"), F.col(f"{f}cy") - F.col(f"st_{e}_y")
@@ -172,15 +171,15 @@ def allowed_transition(cfg: PlannerConfig) -> Column:
     rise = F.abs(F.col("src_cz") - F.col("dst_cz"))
     step = F.greatest(F.lit(cfg.stair_floor_connection_max_vertical), F.greatest(extent("z", "src_"), extent("z", "dst_")) * 1.5)
 
-    def mixed(s: str, f: str, entering: bool) -> Column:
+    def mixed(s: str, f: str) -> Column:
         reach = F.greatest(F.lit(cfg.stair_endpoint_tolerance), extent("z", s) * 1.5)
         end = (F.col(f"{s}cz") <= F.col("st_min_z") + reach) | (F.col(f"{s}cz") >= F.col("st_max_z") - reach)
         band = cfg.stair_floor_connection_max_vertical
         near = (F.col(f"{f}cz") <= F.col("st_min_z") + band) | (F.col(f"{f}cz") >= F.col("st_max_z") - band)
         floors = near_floor(F.col(f"{f}cz"), cfg) & near_floor(F.col(f"{s}cz"), cfg)
-        return F.col("st_min_z").isNotNull() & end & near & floors & _enters(cfg, s, f, F.lit(entering)) & (rise <= step)
+        return F.col("st_min_z").isNotNull() & end & near & floors & _enters(cfg, s, f) & (rise <= step)
 
-    return F.coalesce(F.when(~a & ~b, True).when(a & b, stairs_connect(cfg)).when(a, mixed("src_", "dst_", False)).otherwise(mixed("dst_", "src_", True)), F.lit(False))
+    return F.coalesce(F.when(~a & ~b, True).when(a & b, stairs_connect(cfg)).when(a, mixed("src_", "dst_")).otherwise(mixed("dst_", "src_")), F.lit(False))
 
 
 def with_staircase(edges: DataFrame, components: DataFrame, stats: DataFrame) -> DataFrame:
@@ -345,8 +344,34 @@ def smooth(waypoints: list[dict]) -> list[dict]:
     return [*out, waypoints[-1]]
 
 
+#: What a search says.
+NO_START, NO_GOAL = "Start point cannot be resolved to a traversable leaf", "Goal point cannot be resolved to a traversable leaf"
+OUT_OF_RANGE = "Start or goal node index is out of range"
+START_BLOCKED, GOAL_BLOCKED = "Start node is not traversable", "Goal node is not traversable"
+FOUND, NO_PATH, NOT_REBUILT, CAPPED = "Path found", "No path found", "Failed to reconstruct path", "A* stopped because max_expansions was reached"
+
+
+def snap_note(start: float | None, goal: float | None) -> str:
+    """What follows the message of a path whose ends were snapped by so much (None: not at all)."""
+    parts = [f"{name} snapped {gap:.6f}m" for name, gap in (("start", start), ("goal", goal)) if gap is not None]
+    return f" ({', '.join(parts)})" if parts else ""
+
+
+def smoothed(paths: DataFrame) -> DataFrame:
+    """paths (with waypoints array<struct<..>>) with smooth() waypoints; a path is one row."""
+    kind = paths.schema["waypoints"].dataType
+
+    @F.pandas_udf(kind)
+    def run(column: pd.Series) -> pd.Series:
+        return column.map(lambda w: smooth([dict(x) for x in w]))
+
+    return paths.withColumn("waypoints", run("waypoints"))
+
+
 def _search(start: int, goal: int, out: dict[int, list[tuple[int, float]]], estimate, most: int) -> tuple[str, float, int, list[int]]:
     """Best-first by cost so far + estimate, then by the larger cost so far, then by age; closed leaves stay closed."""
+    if start == goal:
+        return FOUND, 0.0, 0, [start]
     best, came, closed = {start: 0.0}, {}, set()
     queue, pushed, expanded = [(estimate(start), -0.0, 0, start)], 1, 0
     while queue:
@@ -354,45 +379,65 @@ def _search(start: int, goal: int, out: dict[int, list[tuple[int, float]]], esti
         if leaf in closed:
             continue
         closed.add(leaf)
+        expanded += 1
         if leaf == goal:
             path = [goal]
             while path[-1] != start:
+                if path[-1] not in came:
+                    return NOT_REBUILT, math.inf, expanded, []
                 path.append(came[path[-1]])
-            return "path found", best[goal], expanded, path[::-1]
-        expanded += 1
-        if expanded > most:
-            return "expansion limit reached", math.inf, expanded, []
+            return FOUND, best[goal], expanded, path[::-1]
+        if expanded >= most:
+            return CAPPED, math.inf, expanded, []
         for to, cost in out.get(leaf, ()):
             g = best[leaf] + cost
             if to not in closed and g < best.get(to, math.inf):
                 best[to], came[to] = g, leaf
                 heapq.heappush(queue, (g + estimate(to), -g, pushed, to))
                 pushed += 1
-    return "no path", math.inf, expanded, []
+    return NO_PATH, math.inf, expanded, []
+
+
+#: Queries of a frame that one task answers; each further lot of them gets a copy of the frame's graph.
+QUERIES_AT_ONCE = 256
 
 
 def find_paths(leaves: DataFrame, costs: DataFrame, queries: DataFrame, cfg: PlannerConfig) -> DataFrame:
-    """A path for each query (frame_id, query_id, start_leaf, goal_leaf; null where no leaf was found)."""
+    """A path for each query (frame_id, query_id, start_leaf, goal_leaf; null where no leaf was found).
+
+    Queries may have start_snap and goal_snap, how far an end was moved to its leaf (null: not at all). A frame's queries
+    are dealt to lots, and each lot is a task with the frame's graph.
+    """
+    for c in ("start_snap", "goal_snap"):
+        queries = queries if c in queries.columns else queries.withColumn(c, F.lit(None).cast("double"))
+    lots = queries.groupBy(F.col("frame_id").alias("frame_id")).agg(F.ceil(F.count(F.lit(1)) / QUERIES_AT_ONCE).alias("_lots"))  # a row for each frame
+    lots = lots.select(*[F.col(c).alias(c) for c in lots.columns])
+    queries = queries.join(lots, "frame_id").withColumn("lot", F.pmod(F.xxhash64("query_id"), F.col("_lots"))).drop("_lots")
     facts = leaves.select("frame_id", F.lit(0).alias("kind"), F.col("leaf_id").alias("a"), F.lit(None).cast("long").alias("b"), F.lit(None).cast("double").alias("cost"), F.lit(0).cast("long").alias("ord"), "label", d("probability").alias("probability"), "is_cross_floor", "room_id", "cx", "cy", "cz", extent("z").alias("height"))
     none = [F.lit(None).cast(t).alias(c) for c, t in (("label", "int"), ("probability", "double"), ("is_cross_floor", "boolean"), ("room_id", "int"), ("cx", "double"), ("cy", "double"), ("cz", "double"), ("height", "double"))]
     links = costs.select("frame_id", F.lit(1).alias("kind"), F.col("src_leaf_id").alias("a"), F.col("dst_leaf_id").alias("b"), "cost", F.col("ord").cast("long").alias("ord"), *none)
-    graph = facts.unionByName(links)
+    graph = facts.unionByName(links).join(lots, "frame_id").withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_lots") - 1))).drop("_lots")
 
     def run(graph: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         nodes = {int(r.a): r for r in graph[graph.kind == 0].itertuples()}
         out: dict[int, list[tuple[int, float]]] = {}
-        for r in graph[graph.kind == 1].sort_values(["a", "ord"]).itertuples():
-            out.setdefault(int(r.a), []).append((int(r.b), float(r.cost)))
+        ways = graph[graph.kind == 1].sort_values(["a", "ord"])
+        for a, b, cost in zip(ways.a.tolist(), ways.b.astype("int64").tolist(), ways.cost.tolist(), strict=True):
+            out.setdefault(a, []).append((b, cost))
         rows = []
         for q in asked.sort_values("query_id").itertuples():
             row = {"frame_id": q.frame_id, "query_id": q.query_id, "success": False, "total_cost": None, "expanded": 0, "leaf_ids": [], "waypoints": []}
             ends = [None if pd.isna(x) else int(x) for x in (q.start_leaf, q.goal_leaf)]
             row |= {"start_leaf": ends[0], "goal_leaf": ends[1]}
-            if None in ends or any(e not in nodes for e in ends):
-                rows.append(row | {"message": "no start leaf" if ends[0] not in nodes else "no goal leaf"})
+            if None in ends:
+                rows.append(row | {"message": NO_START if ends[0] is None else NO_GOAL})
+                continue
+            if any(e not in nodes for e in ends):
+                rows.append(row | {"message": OUT_OF_RANGE})
                 continue
-            if any(nodes[e].label == OBSTACLE or nodes[e].probability >= cfg.obstacle_block_probability for e in ends):
-                rows.append(row | {"message": "an endpoint is blocked"})
+            barred = [nodes[e].label == OBSTACLE or nodes[e].probability >= cfg.obstacle_block_probability for e in ends]
+            if any(barred):
+                rows.append(row | {"message": START_BLOCKED if barred[0] else GOAL_BLOCKED})
                 continue
             goal = nodes[ends[1]]
 
@@ -407,11 +452,15 @@ def find_paths(leaves: DataFrame, costs: DataFrame, queries: DataFrame, cfg: Pla
                 return cfg.heuristic_weight * (math.dist((n.cx, n.cy, n.cz), (goal.cx, goal.cy, goal.cz)) * (1 + cfg.probability_weight * p) + cfg.vertical_weight * rise + extra)
 
             message, cost, expanded, path = _search(ends[0], ends[1], out, estimate, cfg.max_expansions)
+            if path:
+                message += snap_note(*[None if pd.isna(x) else float(x) for x in (q.start_snap, q.goal_snap)])
             points = [{"leaf_id": i, "x": nodes[i].cx, "y": nodes[i].cy, "z": nodes[i].cz, "label": int(nodes[i].label), "probability": nodes[i].probability, "is_cross_floor": bool(nodes[i].is_cross_floor), "room_id": int(nodes[i].room_id)} for i in path]
             rows.append(row | {"success": bool(path), "message": message, "total_cost": cost if path else None, "expanded": expanded, "leaf_ids": path, "waypoints": smooth(points) if cfg.smooth_waypoints else points})
         return pd.DataFrame(rows, columns=["frame_id", "query_id", "success", "message", "start_leaf", "goal_leaf", "total_cost", "expanded", "leaf_ids", "waypoints"])
 
-    return graph.groupBy("frame_id").cogroup(queries.select("frame_id", "query_id", "start_leaf", "goal_leaf").groupBy("frame_id")).applyInPandas(run, PATH_SCHEMA)
+    # columns of their own, in case queries and leaves come from one table
+    asked = queries.select(*[F.col(c).alias(c) for c in ("frame_id", "lot", "query_id", "start_leaf", "goal_leaf", "start_snap", "goal_snap")])
+    return graph.groupBy("frame_id", "lot").cogroup(asked.groupBy("frame_id", "lot")).applyInPandas(run, PATH_SCHEMA)
 
 
 def segments(points: DataFrame, keys: list[str], order: str = "ord", shortest: float = 1e-4) -> DataFrame:

@@ -29,11 +29,14 @@ def normalised(samples: DataFrame) -> DataFrame:
 
 
 def numbered(df: DataFrame, order: list, partition: list[str] | None = None, name: str = "seq") -> DataFrame:
-    """A number from 0 within each partition; without one, ranks of ordered ranges are added up, so no task sorts all rows."""
+    """A number from 0 within each partition; without one, ranks of ordered ranges are added up, so no task sorts all rows.
+
+    The ranges are written once, because a second look at them may cut them elsewhere.
+    """
     if partition:
         return df.withColumn(name, F.row_number().over(Window.partitionBy(*partition).orderBy(*order)).cast("long") - 1)
     parts = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    ranked = parts.withColumn("_own", F.row_number().over(Window.partitionBy("_part").orderBy(*order)).cast("long") - 1)
+    ranked = written(parts.withColumn("_own", F.row_number().over(Window.partitionBy("_part").orderBy(*order)).cast("long") - 1), "numbered")
     sizes = ranked.groupBy("_part").agg(F.max("_own").alias("_last"))
     # a row for each partition
     before = sizes.select("_part", F.coalesce(F.sum(F.col("_last") + 1).over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))

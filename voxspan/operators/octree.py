@@ -33,6 +33,12 @@ def root_bounds(samples: DataFrame, key: str = "frame_id") -> DataFrame:
 EMPTY_ROOT = {"root_min_x": 0.0, "root_min_y": 0.0, "root_min_z": 0.0, "root_max_x": 20.0, "root_max_y": 20.0, "root_max_z": 5.0}
 
 
+def root_bounds_of(frames: DataFrame, samples: DataFrame, key: str = "frame_id") -> DataFrame:
+    """The root box of every frame in `frames` (key), also of those without points."""
+    own = root_bounds(samples, key)
+    return frames.select(key).distinct().join(own, key, "left").select(key, *[F.coalesce(F.col(c), F.lit(v).cast("float")).alias(c) for c, v in EMPTY_ROOT.items()])
+
+
 def with_root(df: DataFrame, roots: DataFrame) -> DataFrame:
     """A box for each frame is a small table; the optimizer sends it to all tasks where its size allows."""
     return df.join(roots, "frame_id")
@@ -111,8 +117,23 @@ def nodes(samples: DataFrame, roots: DataFrame, cfg: OctreeConfig) -> DataFrame:
 
 def with_index(tree: DataFrame, cfg: OctreeConfig) -> DataFrame:
     """node_index: a cell comes before what is below it, and cells at one place by octant."""
-    order = [F.expr(f"shiftleft(path, cast(3 * ({cfg.max_depth} - depth) as int))"), "depth"]
-    return tree.withColumn("node_index", F.row_number().over(Window.partitionBy("frame_id").orderBy(*order)) - 1)
+    return in_order(tree, cfg, "node_index")
+
+
+#: Cells are numbered by blocks of the order, the cells of this depth, so that no task sorts a frame.
+BLOCK_DEPTH = 5
+
+
+def in_order(tree: DataFrame, cfg: OctreeConfig, name: str) -> DataFrame:
+    """The depth-first rank of each cell in its frame: its rank in its block, and the sizes of the blocks before."""
+    at = F.expr(f"shiftleft(path, cast(3 * ({cfg.max_depth} - depth) as int))")
+    down = 3 * max(0, cfg.max_depth - BLOCK_DEPTH)
+    placed = tree.withColumn("_at", at).withColumn("_block", F.shiftright("_at", down))
+    sizes = placed.groupBy("frame_id", "_block").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("frame_id").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select("frame_id", "_block", F.coalesce(before, F.lit(0)).alias("_before"))  # at most 8 ** BLOCK_DEPTH rows for a frame
+    own = F.row_number().over(Window.partitionBy("frame_id", "_block").orderBy("_at", "depth")) - 1
+    return placed.withColumn("_own", own).join(sizes, ["frame_id", "_block"]).withColumn(name, F.col("_own") + F.col("_before")).drop("_at", "_block", "_own", "_before")
 
 
 def octal_path(depth: str = "depth", path: str = "path"):
@@ -124,21 +145,23 @@ def votes(rows: DataFrame, keys: list[str]) -> DataFrame:
 
     Ties: stairs before obstacles before free; the smallest room and entity.
     """
-    own = rows.where("has_semantics")
-    counts = own.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("votes"),
-        *[F.count_if(F.col("label") == i).alias(f"n{i}") for i in (0, OBSTACLE, STAIR)],
-        F.avg(d("probability")).alias("p"),
-        F.bool_or("is_cross_floor").alias("cross"),
-    )
+    return voted(rows.where("has_semantics"), keys).drop("n")
 
-    def mode(column: str) -> DataFrame:
-        by = own.groupBy(*keys, column).agg(F.count(F.lit(1)).alias("k"))
-        return by.groupBy(*keys).agg(F.min_by(column, F.struct(-F.col("k"), F.col(column))).alias(column))
 
-    out = counts.join(mode("room_id"), keys).join(mode("entity_id"), keys)
+def voted(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """votes() and n, the number of all samples, in one aggregation; a group without semantics has null votes."""
+    said = F.col("has_semantics")
+    counts = rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.count_if(said & (F.col("label") == i)).alias(f"n{i}") for i in (0, OBSTACLE, STAIR)],
+        F.avg(F.when(said, d("probability"))).alias("p"),
+        F.bool_or(said & F.col("is_cross_floor")).alias("cross"),
+        *[F.mode(F.when(said, F.col(c)), True).alias(c) for c in ("room_id", "entity_id")],
+    )
     label = F.when((F.col("n2") >= F.col("n1")) & (F.col("n2") >= F.col("n0")), STAIR).when(F.col("n1") >= F.col("n0"), OBSTACLE).otherwise(0)
-    return out.select(*keys, label.alias("label"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("p"))).cast("float").alias("probability"), (F.col("cross") | (F.col("n2") > 0)).alias("is_cross_floor"), "room_id", "entity_id")
+    some = F.col("p").isNotNull()
+    clamped = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("p"))).cast("float")
+    return counts.select(*keys, "n", F.when(some, label).alias("label"), F.when(some, clamped).alias("probability"), F.when(some, F.col("cross") | (F.col("n2") > 0)).alias("is_cross_floor"), "room_id", "entity_id")
 
 
 def leaves(samples: DataFrame, cfg: OctreeConfig, roots: DataFrame | None = None) -> DataFrame:
@@ -146,8 +169,7 @@ def leaves(samples: DataFrame, cfg: OctreeConfig, roots: DataFrame | None = None
     roots = root_bounds(samples) if roots is None else roots
     own = assigned(samples, roots, cfg)
     keys = ["frame_id", "depth", "path"]
-    size = own.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    out = with_bounds(size, roots).join(votes(own, keys), keys, "left")
+    out = with_bounds(voted(own, keys), roots)
     zero = {"label": 0, "probability": 0.0, "is_cross_floor": False, "room_id": 0, "entity_id": 0}
     out = out.fillna(zero).withColumn("dynamic", F.lit(False))
     return out.select("*", *[((d(f"min_{a}") + d(f"max_{a}")) * 0.5).alias(f"c{a}") for a in AXES])

@@ -177,7 +177,14 @@ def octree_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(*KEY, octree.octal_path().alias("octants"), "n", *[r4(f"{s}_{a}", f"{s}_{a}") for s in ("min", "max") for a in AXES])
 
 
-OCTREE_LEAVES = octree_sql(LINEITEM, CFG) + ", digits AS (SELECT frame_id, depth, path, CASE WHEN depth = 0 THEN '' ELSE array_to_string(list_transform(range(depth), lambda i: CAST((path >> (3 * (depth - 1 - i))) & 7 AS VARCHAR)), '') END AS octants FROM leaf) SELECT l.frame_id, l.depth, l.path, octants, n, " + ", ".join(f"round(CAST({s}_{a} AS DOUBLE), 4) AS {s}_{a}" for s in ("min", "max") for a in AXES) + " FROM leaf l JOIN digits USING (frame_id, depth, path)"
+# a leaf is a cell that does not split under cells that all do
+OCTREE_LEAVES = octree_sql(LINEITEM, CFG) + (
+    ", shut AS (SELECT frame_id, depth, path FROM cand WHERE NOT split), below AS (SELECT DISTINCT c.frame_id, c.depth, c.path FROM shut c, unnest(range(c.depth)) AS u(up) JOIN shut s ON s.frame_id = c.frame_id AND s.depth = u.up AND s.path = c.path >> (3 * (c.depth - u.up))),"
+    " top AS (SELECT c.* FROM cand c JOIN (SELECT * FROM shut EXCEPT SELECT * FROM below) USING (frame_id, depth, path))"
+    " SELECT frame_id, depth, path, CASE WHEN depth = 0 THEN '' ELSE array_to_string(list_transform(range(depth), lambda i: CAST((path >> (3 * (depth - 1 - i))) & 7 AS VARCHAR)), '') END AS octants, n, "
+    + ", ".join(f"round(CAST({s}_{a} AS DOUBLE), 4) AS {s}_{a}" for s in ("min", "max") for a in AXES)
+    + " FROM top"
+)
 
 
 def morton_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -253,7 +260,41 @@ def pca_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
     cloud = adapters.lineitem_cloud(spark, sf_dir)
     own = octree.assigned(cloud, octree.root_bounds(cloud), OctreeConfig(max_depth=4))
     out = octree.pca(own, KEY)
-    return out.select(*KEY, "n", *[r4(f"centroid_{a}", f"centroid_{a}", 3) for a in AXES], *[r4(c, c, 3) for c in ("eigenvalue_0", "eigenvalue_1", "eigenvalue_2", "linearity", "flatness", "roughness", "curvature")])
+    # the centre of a leaf with three points or more; what the eigenvalues sum and multiply to; whether the normal is a unit vector
+    e0, e1, e2 = (F.col(f"eigenvalue_{i}") for i in range(3))
+    size = F.sqrt(sum(F.col(f"normal_{a}") * F.col(f"normal_{a}") for a in AXES))
+    unit = F.when(size > 0, F.abs(size - 1) < 1e-9)
+    lies = F.when(size > 0, (F.col("linearity") + F.col("flatness") + F.col("roughness")).between(0.999999, 1.000001))
+    return out.select(
+        *KEY, "n", *[r4(f"centroid_{a}", f"centroid_{a}", 3) for a in AXES], r4(e0 + e1 + e2, "trace", 3), r4(e0 * e1 + e0 * e2 + e1 * e2, "minors", 3), r4(e0 * e1 * e2, "determinant", 3),
+        ((e0 <= e1) & (e1 <= e2)).cast("int").alias("ordered"), unit.cast("int").alias("unit_normal"), lies.cast("int").alias("shares_add_up"), r4(F.when(size > 0, F.col("curvature") * (e0 + e1 + e2) - e0), "curvature_rest", 6),
+    )
+
+
+_MOMENTS = ", ".join([f"avg(CAST({a} AS DOUBLE)) AS c{a}, var_pop(CAST({a} AS DOUBLE)) AS {a}{a}" for a in AXES] + [f"covar_pop(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)) AS {a}{b}" for a, b in ("xy", "xz", "yz")])
+PCA_LEAVES = octree_sql(LINEITEM, OctreeConfig(max_depth=4)) + f""", g AS (SELECT o.frame_id, o.leaf_depth AS depth, o.leaf_path AS path, count(*) AS n, {_MOMENTS} FROM own o JOIN pts USING (frame_id, id) GROUP BY 1, 2, 3),
+m AS (SELECT *, xx + yy + zz AS tr, xx * yy + xx * zz + yy * zz - xy * xy - xz * xz - yz * yz AS mi, xx * (yy * zz - yz * yz) - xy * (xy * zz - yz * xz) + xz * (xy * yz - yy * xz) AS det FROM g)
+SELECT frame_id, depth, path, n, round(cx, 3) AS centroid_x, round(cy, 3) AS centroid_y, round(cz, 3) AS centroid_z, round(CASE WHEN n >= 3 THEN tr ELSE 0.0 END, 3) AS trace, round(CASE WHEN n >= 3 THEN mi ELSE 0.0 END, 3) AS minors, round(CASE WHEN n >= 3 THEN det ELSE 0.0 END, 3) AS determinant,
+ 1 AS ordered, CASE WHEN n >= 3 AND tr >= 1e-8 THEN 1 END AS unit_normal, CASE WHEN n >= 3 AND tr >= 1e-8 THEN 1 END AS shares_add_up, CASE WHEN n >= 3 AND tr >= 1e-8 THEN 0.0::DOUBLE END AS curvature_rest FROM m"""
+
+
+def empty_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes of all years up to 2010, also of those without points."""
+    frames = spark.range(1990, 2011).select(F.col("id").cast("int").alias("frame_id"))
+    out = octree.root_bounds_of(frames, adapters.lineitem_cloud(spark, sf_dir))
+    return out.select("frame_id", *[r4(c, c) for c in out.columns if c != "frame_id"])
+
+
+EMPTY_ROOTS = f"WITH pts AS ({LINEITEM}), r AS ({roots_sql()}) SELECT f.frame_id, " + ", ".join(f"round(CAST(coalesce(r.{c}, {v}) AS DOUBLE), 4) AS {c}" for c, v in octree.EMPTY_ROOT.items()) + " FROM (SELECT CAST(i AS INTEGER) AS frame_id FROM unnest(range(1990, 2011)) AS t(i)) f LEFT JOIN r USING (frame_id)"
+
+
+def leaf_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The leaves of the tree by their number among all nodes."""
+    cloud = adapters.lineitem_cloud(spark, sf_dir)
+    return octree.nodes(cloud, octree.root_bounds(cloud), SHALLOW).where("leaf").select("node_index", *KEY, "n")
+
+
+LEAF_NUMBERS = octree_sql(LINEITEM, SHALLOW) + _TREE.format(depth=SHALLOW.max_depth) + "SELECT node_index, frame_id, depth, path, n FROM node WHERE leaf"
 
 
 def cloud_extents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -443,6 +484,6 @@ def entity_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 ENTITY_BATCHES = """WITH s AS (SELECT DISTINCT event_id // 200 AS batch, user_id % 60 AS entity_key FROM events), g AS (SELECT batch + 1 AS batch, entity_key FROM s)
 SELECT batch, entity_key, 'added' AS change FROM (SELECT * FROM s EXCEPT SELECT * FROM g) UNION ALL SELECT batch, entity_key, 'removed' FROM (SELECT * FROM g EXCEPT SELECT * FROM s) WHERE batch <= (SELECT max(batch) FROM s)"""
 
-NAMES = ["root_bounds", "stride_sample", "linspace_sample", "semantic_rule", "normalised_samples", "label_votes", "octant_counts", "octree_levels", "octree_leaves", "morton_codes", "point_in_leaf", "leaf_features", "weak_labels", "pca_leaves", "cloud_extents", "quota_sample", "scene_join", "entity_delta", "box_samples", "sphere_samples", "cylinder_samples", "plane_samples", "triangle_samples", "world_points", "dynamic_update", "publish_throttle", "tumbling_first", "latest_frame", "entity_batches"]
+NAMES = ["root_bounds", "stride_sample", "linspace_sample", "semantic_rule", "normalised_samples", "label_votes", "octant_counts", "octree_levels", "octree_leaves", "leaf_numbers", "empty_roots", "morton_codes", "point_in_leaf", "leaf_features", "weak_labels", "pca_leaves", "cloud_extents", "quota_sample", "scene_join", "entity_delta", "box_samples", "sphere_samples", "cylinder_samples", "plane_samples", "triangle_samples", "world_points", "dynamic_update", "publish_throttle", "tumbling_first", "latest_frame", "entity_batches"]
 QUERIES = {n: globals()[n] for n in NAMES}
 SQL = {n: globals()[n.upper()] for n in NAMES if n.upper() in globals()}

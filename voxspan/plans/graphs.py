@@ -292,7 +292,29 @@ def astar_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     goal = ends.select(((F.col("query_id") % 10) + 1).alias("_next"), F.col("query_id").alias("_goal_query"), F.col("leaf_id").alias("goal_leaf")).where("_goal_query <= 10")
     asked = ends.join(goal, F.col("query_id") % 10 + 1 == F.col("_next")).select("frame_id", "query_id", F.col("leaf_id").alias("start_leaf"), "goal_leaf")
     out = graph.find_paths(tree, written(costs, "costs"), asked, PLAN)
-    return out.select("query_id", "success", "message", "start_leaf", "goal_leaf", r4("total_cost", "total_cost", 3), "expanded", F.size("leaf_ids").alias("steps"), F.size("waypoints").alias("waypoints"))
+    return out.select("query_id", "success", F.regexp_replace("message", r" \(.*", "").alias("message"), "start_leaf", "goal_leaf", r4("total_cost", "total_cost", 3), "expanded", F.size("leaf_ids").alias("steps"), F.size("waypoints").alias("waypoints"))
+
+
+def shortest_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The search without an estimate, which makes every path the shortest: from twenty leaves to every fifth one, blocked ones too, and some ends that are not there."""
+    tree, roots, costs = _costs(spark, sf_dir)
+    plan = PlannerConfig(heuristic_weight=0.0)
+    ends = tree.where("leaf_id < 20").select("frame_id", F.col("leaf_id").alias("start_leaf"))
+    goals = tree.where("leaf_id % 5 = 0").agg(F.collect_list("leaf_id").alias("goals"))  # one row
+    ends = ends.join(F.broadcast(goals)).withColumn("goal_leaf", F.explode("goals"))
+    asked = ends.select("frame_id", (F.col("start_leaf") * 1_000_000 + F.col("goal_leaf")).alias("query_id"), "start_leaf", F.when(F.col("goal_leaf") % 50 == 0, F.lit(999_999)).otherwise(F.col("goal_leaf")).cast("long").alias("goal_leaf"))
+    asked = asked.withColumn("goal_leaf", F.when(F.col("query_id") % 35 != 0, F.col("goal_leaf"))).withColumn("start_snap", F.when(F.col("start_leaf") % 3 == 0, 0.25)).withColumn("goal_snap", F.when(F.col("start_leaf") % 2 == 0, 1.5))
+    out = graph.find_paths(tree, written(costs, "costs"), asked, plan)
+    return out.select("query_id", "success", "message", r4("total_cost", "total_cost", 3))
+
+
+_REACHED = """, reached(s, node, cost) USING KEY (s, node) AS (SELECT leaf_id, leaf_id, 0.0::DOUBLE FROM leaf WHERE leaf_id < 20
+ UNION SELECT n.s, n.t, n.c FROM (SELECT r.s, e.t_leaf_id AS t, min(r.cost + e.cost) AS c FROM reached r JOIN cost e ON e.s_leaf_id = r.node GROUP BY 1, 2) n LEFT JOIN recurring.reached o ON o.s = n.s AND o.node = n.t WHERE o.cost IS NULL OR n.c < o.cost)"""
+_PATH_ENDS = """, wish AS (SELECT a.leaf_id AS s, CASE WHEN (a.leaf_id * 1000000 + b.leaf_id) % 35 <> 0 THEN CASE WHEN b.leaf_id % 50 = 0 THEN 999999 ELSE b.leaf_id END END AS g, a.leaf_id * 1000000 + b.leaf_id AS query_id FROM leaf a, leaf b WHERE a.leaf_id < 20 AND b.leaf_id % 5 = 0),
+told AS (SELECT e.query_id, e.s, r.cost, CASE WHEN g IS NULL THEN 'Goal point cannot be resolved to a traversable leaf' WHEN b.leaf_id IS NULL THEN 'Start or goal node index is out of range' WHEN NOT {a} THEN 'Start node is not traversable' WHEN NOT {b} THEN 'Goal node is not traversable' WHEN r.cost IS NULL THEN 'No path found' ELSE 'Path found' END AS message
+ FROM wish e JOIN leaf a ON e.s = a.leaf_id LEFT JOIN leaf b ON e.g = b.leaf_id LEFT JOIN reached r ON r.s = e.s AND r.node = e.g)
+SELECT query_id, message = 'Path found' AS success, CASE WHEN message <> 'Path found' THEN message WHEN s % 6 = 0 THEN 'Path found (start snapped 0.250000m, goal snapped 1.500000m)' WHEN s % 3 = 0 THEN 'Path found (start snapped 0.250000m)' WHEN s % 2 = 0 THEN 'Path found (goal snapped 1.500000m)' ELSE message END AS message, CASE WHEN message = 'Path found' THEN round(cost, 3) END AS total_cost FROM told""".format(a=_open("a."), b=_open("b."))
+SHORTEST_PATHS = _ALL + _REACHED + _PATH_ENDS
 
 
 def leaf_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -325,12 +347,24 @@ def endpoint_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown.select("query_id", view.endpoint_line("start").alias("line"))
 
 
+_SNAPPED = f""", asked AS ({_ASKED}), inside AS (SELECT query_id, leaf_id, label, probability, row_number() OVER (PARTITION BY query_id ORDER BY {held_order_sql('x', 'y', 'z')}) AS k FROM asked, leaf l WHERE x BETWEEN l.min_x AND l.max_x AND y BETWEEN l.min_y AND l.max_y AND z BETWEEN l.min_z AND l.max_z),
+ok AS (SELECT query_id, leaf_id FROM inside WHERE k = 1 AND {_open()}),
+gaps AS (SELECT query_id, leaf_id, sqrt((cx - x) * (cx - x) + (cy - y) * (cy - y) + (cz - z) * (cz - z)) AS gap FROM (SELECT query_id, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, CAST(z AS DOUBLE) AS z FROM asked) a, leaf WHERE {_open()}),
+best AS (SELECT query_id, leaf_id, gap FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY gap, leaf_id) AS k FROM gaps WHERE gap <= 1.5) WHERE k = 1),
+snap AS MATERIALIZED (SELECT a.query_id, coalesce(o.leaf_id, b.leaf_id) AS leaf_id, o.leaf_id IS NULL AND b.leaf_id IS NOT NULL AS snapped, CASE WHEN o.leaf_id IS NULL THEN coalesce(b.gap, 0.0) ELSE 0.0 END AS snap_distance FROM asked a LEFT JOIN ok o USING (query_id) LEFT JOIN best b USING (query_id))"""
+ENDPOINT_LINES = LEAVES + _SNAPPED + """ SELECT s.query_id, CASE WHEN l.leaf_id IS NULL THEN 'start_node=none' ELSE concat('start_node=', s.leaf_id, printf(' start_center=(%.3f,%.3f,%.3f)', cx, cy, cz), ' start_label=', CASE label WHEN 0 THEN 'free' WHEN 1 THEN 'obstacle' WHEN 2 THEN 'stair' ELSE 'unknown' END, printf(' start_prob=%.3f', CAST(probability AS DOUBLE)), CASE WHEN snapped THEN printf(' start_snapped=%.3fm', snap_distance) ELSE '' END) END AS line FROM snap s LEFT JOIN leaf l USING (leaf_id)"""
+
+
 def path_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     tree, roots, costs = _costs(spark, sf_dir)
     ends = graph.endpoint_snap(_asked(spark, sf_dir), tree, roots, CFG, PLAN).select("frame_id", "query_id", F.col("leaf_id").alias("start_leaf"), F.col("leaf_id").alias("goal_leaf"))
     return view.path_markers(graph.find_paths(tree, written(costs, "costs"), ends, PLAN)).groupBy("kind").agg(F.count(F.lit(1)).alias("markers"), F.sum(F.size("points")).alias("points"))
 
 
+# a path from a leaf to itself is that leaf, and where there is no leaf there is nothing to draw
+PATH_MARKERS = LEAVES + _SNAPPED + " SELECT kind, count(*) AS markers, CAST(sum(CASE kind WHEN 'delete' THEN 0 ELSE 1 END) AS BIGINT) AS points FROM snap, unnest(CASE WHEN leaf_id IS NULL THEN ['delete'] ELSE ['line', 'start', 'goal'] END) AS t(kind) GROUP BY kind"
+
+
 def path_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = adapters.table(spark, sf_dir, "events")
     points = t.select((F.col("event_id") % 50).alias("path_id"), F.col("event_id").alias("ord"), ((F.col("user_id") % 40) * 0.25).alias("x"), (F.col("value") % 20.0).alias("y"), (1.0 + 4.0 * (F.col("event_id") % 3)).alias("z"))
@@ -354,6 +388,6 @@ PATH_CHANGES = """WITH p AS (SELECT o_custkey % 100 AS path_id, o_orderkey AS fr
 n AS (SELECT *, lag(x) OVER w AS bx, lag(z) OVER w AS bz FROM p WINDOW w AS (PARTITION BY path_id ORDER BY frame))
 SELECT path_id, count(*) AS frames, count(*) FILTER (bx IS NULL OR sqrt((x - bx) * (x - bx) + (z - bz) * (z - bz)) > 0.05) AS changes FROM n GROUP BY 1"""
 
-NAMES = ["face_neighbors", "traversal_cost", "traversal_edges", "flood_fill", "obstacle_cells", "clearance_semijoin", "segment_block", "stair_edges", "stair_components", "stair_component_stats", "floor_gate", "graph_edges", "edge_cost", "heuristic_cost", "endpoint_snap", "leaf_colours", "render_cap", "endpoint_lines", "path_markers", "astar_path", "path_segments", "path_changes"]
+NAMES = ["face_neighbors", "traversal_cost", "traversal_edges", "flood_fill", "obstacle_cells", "clearance_semijoin", "segment_block", "stair_edges", "stair_components", "stair_component_stats", "floor_gate", "graph_edges", "edge_cost", "heuristic_cost", "endpoint_snap", "leaf_colours", "render_cap", "endpoint_lines", "path_markers", "astar_path", "shortest_paths", "path_segments", "path_changes"]
 QUERIES = {n: globals()[n] for n in NAMES}
 SQL = {n: globals()[n.upper()] for n in NAMES if n.upper() in globals()}

@@ -20,9 +20,21 @@ def feature_columns_of(columns: list[str], ignore: set[str]) -> list[str]:
 
 
 def read_features(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Feature files as text columns with their source file; files in order of name need the first one's columns."""
-    df = spark.read.option("header", True).option("mode", "PERMISSIVE").csv(paths)
-    return df.withColumn("source_file", F.input_file_name())
+    """Feature files as text columns with their source file, matched by the names in their headers.
+
+    Paths in order need the columns of the first one, and further ones they may have are left out. Raises ValueError if some are missing.
+    """
+    paths = [paths] if isinstance(paths, str) else sorted(paths)
+    out = None
+    for path in paths:
+        df = spark.read.option("header", True).option("mode", "PERMISSIVE").csv(path)
+        if not df.columns:
+            raise ValueError(f"{path} has no header")
+        if out is not None and (missing := sorted(set(out.columns) - {"source_file"} - set(df.columns))):
+            raise ValueError(f"{path} is missing columns that earlier files have: {missing}")
+        df = df.withColumn("source_file", F.input_file_name())
+        out = df if out is None else out.unionByName(df.select(*out.columns))
+    return out
 
 
 def rows_by_file(rows: DataFrame) -> DataFrame:
@@ -80,7 +92,7 @@ def output_path(base: str, frame: int | None = None, train: bool = False) -> str
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
     """Benchmark runs; blank numbers are null."""
-    df = spark.read.option("header", True).csv(path)
+    df = spark.read.option("header", True).option("escape", '"').csv(path)
     numbers = [F.expr(f"try_cast({c} as double)").alias(c) for c in MEASURES if c in df.columns]
     return df.select(F.expr("try_cast(frame as long)").alias("frame"), "mode", *numbers, F.col("path_success").isin("1", "true", "True").alias("path_success"), *[c for c in ("message",) if c in df.columns])
 
@@ -92,7 +104,7 @@ def append_runs(runs: DataFrame, path: str) -> None:
 
 def read_forest(spark: SparkSession, path: str) -> tuple[list[str], DataFrame]:
     """Inputs and table of a model in text form."""
-    lines = spark.read.option("wholetext", True).text(path).first()  # one model
+    lines = spark.read.text(path, wholetext=True).first()  # one model
     inputs, rows = read_text(lines[0])
     return inputs, spark.createDataFrame(rows, FOREST_SCHEMA)
 
@@ -102,6 +114,25 @@ def write_forest(table: DataFrame, inputs: list[str], path: str) -> None:
     table.sparkSession.createDataFrame([(text.rstrip("\n"),)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
+def save_forests(model, path: str) -> None:
+    """Both forests of a training run with their inputs, in Spark's own format; overwrites."""
+    model.classifier.write().overwrite().save(f"{path}/classifier")
+    model.regressor.write().overwrite().save(f"{path}/regressor")
+    spark = SparkSession.active()
+    spark.createDataFrame([(i, c) for i, c in enumerate(model.inputs)], "at int, name string").coalesce(1).write.mode("overwrite").parquet(f"{path}/inputs")
+
+
+def load_forests(spark: SparkSession, path: str):
+    """What save_forests() wrote."""
+    from pyspark.ml.classification import RandomForestClassificationModel
+    from pyspark.ml.regression import RandomForestRegressionModel
+
+    from ..operators.forest import Forests
+
+    inputs = [r.name for r in spark.read.parquet(f"{path}/inputs").orderBy("at").collect()]  # a row for each input
+    return Forests(RandomForestClassificationModel.load(f"{path}/classifier"), RandomForestRegressionModel.load(f"{path}/regressor"), inputs)
+
+
 def write_summary(summary: DataFrame, path: str) -> None:
     nested(summary).coalesce(1).write.mode("overwrite").json(path)
 

@@ -115,7 +115,7 @@ def sample_triangles(triangles: DataFrame, spacing: float, keys: list[str]) -> D
 
 def mesh_triangles(vertices: DataFrame, indices: DataFrame, keys: list[str]) -> DataFrame:
     """Triangles of submeshes: vertices (keys, vertex, x, y, z) by indices (keys, at, vertex), three in a row; submeshes
-    without a triangle of indices take their vertices three in a row. Each distinct mesh is read once."""
+    without a triangle of indices take their vertices three in a row."""
     valid = indices.join(vertices, [*keys, "vertex"]).select(*keys, "at", *AXES)
     own = vertices.join(valid.select(*keys).distinct(), keys, "left_anti").select(*keys, F.col("vertex").alias("at"), *AXES)
 
@@ -132,9 +132,28 @@ def demo_grid(spark, n: int = 10) -> DataFrame:
     return spark.range(n * n).select((F.col("id") % n).cast("float").alias("x"), F.floor(F.col("id") / n).cast("float").alias("y"), F.lit(1.0).cast("float").alias("z"))
 
 
-def sample_shapes(shapes: DataFrame, spacing: float, keys: list[str]) -> DataFrame:
-    """Points of boxes, cylinders, spheres and planes by geometry_type; other types give none."""
-    kinds = (("BOX", sample_box), ("CYLINDER", sample_cylinder), ("SPHERE", sample_sphere), ("PLANE", sample_plane))
+#: What one mesh is known by: its file and its scale.
+MESH_KEY = ["uri", "scale_x", "scale_y", "scale_z"]
+
+
+def sample_meshes(shapes: DataFrame, vertices: DataFrame, indices: DataFrame, spacing: float, keys: list[str]) -> DataFrame:
+    """Points of meshes (uri, scale_x, scale_y, scale_z), from the vertices (uri, submesh, vertex, x, y, z) and indices
+    (uri, submesh, at, vertex) of their files. Each file and scale is sampled once, however many shapes use it; shapes
+    without a uri, or whose file is not there, give no points."""
+    wanted = shapes.where("uri is not null and uri <> ''")
+    distinct = wanted.select(*MESH_KEY).distinct()
+    corners = [f"{c}{k}" for c in "abc" for k in AXES]
+    triangles = mesh_triangles(vertices, indices, ["uri", "submesh"]).join(distinct, "uri")
+    scaled = triangles.select(*MESH_KEY, *[(d(c) * d(f"scale_{c[1]}")).alias(c) for c in corners])
+    points = sample_triangles(scaled, spacing, MESH_KEY)
+    return wanted.select(*keys, *MESH_KEY).join(points, MESH_KEY).select(*keys, *AXES)
+
+
+def sample_shapes(shapes: DataFrame, spacing: float, keys: list[str], vertices: DataFrame | None = None, indices: DataFrame | None = None) -> DataFrame:
+    """Points of boxes, cylinders, spheres and planes by geometry_type, and of meshes where their vertices and indices are given; other types give none."""
+    kinds = [("BOX", sample_box), ("CYLINDER", sample_cylinder), ("SPHERE", sample_sphere), ("PLANE", sample_plane)]
+    if vertices is not None and indices is not None:
+        kinds.append(("MESH", lambda own, s, k: sample_meshes(own, vertices, indices, s, k)))
     out = None
     for kind, sample in kinds:
         own = sample(shapes.where(F.col("geometry_type") == kind), spacing, keys)

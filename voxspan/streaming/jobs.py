@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import threading
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +21,28 @@ def frame_stream(spark: SparkSession, path: str, files_per_trigger: int | None =
     return (reader.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else reader).parquet(path)
 
 
+class Pace:
+    """Lets a callback run at most once a period, and never twice at a time: calls that come too early or while it runs are dropped."""
+
+    def __init__(self, each: Callable[[DataFrame, int], None], period_s: float, clock: Callable[[], float] = time.monotonic):
+        self.each, self.period, self.clock = each, period_s, clock
+        self.last: float | None = None
+        self.ran = self.dropped = 0
+        self.busy = threading.Lock()
+
+    def __call__(self, df: DataFrame, batch: int) -> None:
+        now = self.clock()
+        if (self.last is not None and now - self.last < self.period) or not self.busy.acquire(blocking=False):
+            self.dropped += 1
+            return
+        try:
+            self.last = now
+            self.each(df, batch)
+            self.ran += 1
+        finally:
+            self.busy.release()
+
+
 def run_frames(frames: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, once: bool = False, every: str | None = None) -> StreamingQuery:
     """`each` on the samples of every micro-batch. once: what is there now, and stop; every: at most so often."""
     writer = frames.writeStream.foreachBatch(lambda df, batch: each(decode_packed(df), batch)).option("checkpointLocation", checkpoint)
