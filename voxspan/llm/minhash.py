@@ -32,6 +32,8 @@ from .common import HUB, HUBS, U64, _to_least, batches_of, block_pairs, componen
 #: With 32 coordinates a pair at similarity 0.8 agrees in fewer than 16 once in 15,000 times.
 COORDS, MATCHES = 32, 16
 BLOCK_DOCS = 1024
+#: Lists of so few documents have nothing worth skipping.
+FEW = 32
 #: Up to so many ids of documents to look up are sent to all tasks; more meet the texts by a shuffle.
 SEND_IDS = 500_000
 
@@ -122,6 +124,13 @@ def _edges(ids: np.ndarray, comp: np.ndarray) -> pa.Table | None:
 def collisions(sig: np.ndarray, matches: int):
     """(i, js) for each row i: the later rows that agree with it in at least `matches` coordinates."""
     m, coords = sig.shape
+    if m <= FEW:  # all lists are short: they are merged at once
+        count = (sig[:, None] == sig[None]).sum(2)
+        for i in range(m - 1):
+            found = i + 1 + np.flatnonzero(count[i, i + 1 :] >= matches)
+            if len(found):
+                yield i, found
+        return
     members, first, number = [], [], np.empty((m, coords), np.int64)
     for c in range(coords):
         order = np.argsort(sig[:, c], kind="stable")
