@@ -1,21 +1,26 @@
-"""Language-model scores by logistic context mixing over the bits of words.
-
-A text is a sequence of tokens: its words and one end. Each token is spelled byte by byte (a word ends with a space, the
-end is a line feed), and each bit is predicted from several hashed contexts: the place in the word, the last one, two,
-three and five bytes, and all of the word so far, each with the state, and once more all of the word without it. The
-state is the class of text that the word endings before it in the same text speak for; classes come from how word endings
-follow each other in all training texts. Counts of the contexts of all of the word are exact: words are dealt to ranges of
-their order, where the words that share a beginning stand together, and the mass of all other ranges is added along the
-ranges' ends. The other contexts have hashed tables, sized by the distinct pairs of context and bit. A context's counts of zeros and ones give one prediction each; they are mixed
-in the logistic domain with weights that a gate selects by how much the longest contexts have seen, and the mix is
-refined by an adaptive table over gate and prediction. Weights and refinement are learned online, on each training token
-as if it had been seen once less. All tokens of all training texts are counted.
-
-Bits depend on the state alone of all that precedes a word, so each word is spelled once for each state it occurs in.
-Frequent ones (at most TOP of them, by count) reach all workers in one table; the others meet their tokens in a join.
+"""Language-model scores by logistic context mixing over bits: of passages, and of the words that no passage tells.
+
+A text is a sequence of tokens: its words and one end. They are told in passages of some PLACE words (see passages.py): two
+bits say whether a passage followed the one before it in the training texts, or is known from them at all. These bits see
+across words, and a text that repeats others costs little. All other passages are spelled.
+
+Each token is spelled byte by byte (a word ends with a space, the end is a line feed), and each bit is predicted from
+several hashed contexts: the place in the word, the last one, two, three and five bytes, and all of the word so far, each
+with the state, and once more all of the word without it. The state is the class of text that the words before it in the
+same text speak for by their endings; classes come from how word endings follow each other in all training texts. Counts
+of the contexts of all of the word are exact: words are dealt to ranges of their order, where the words that share a
+beginning stand together, and the mass of all other ranges is added along the ranges' ends. The other contexts have hashed
+tables, sized by the distinct pairs of context and bit. A context's counts of zeros and ones give one prediction; they are
+mixed in the logistic domain with weights that a gate selects by how much the longest contexts have seen, and the mix is
+refined by an adaptive table over gate and prediction. Weights and refinement are learned online, step by step over the
+training words in the order of a shuffle, each taken as if it had been seen once less and as often as it occurs. All
+tokens of all training texts are counted.
+
+Bits depend on the state alone of what precedes a word in its passage, so each word is spelled once for each state it
+occurs in. Frequent ones (at most TOP of them, by count) reach all workers in one table; the others meet their tokens in a join.
 
 Edge cases: null and empty texts are their end token alone; a very long text is scored whole; repeated rows get equal
-scores; a table without training rows scores with untrained weights; other columns are ignored.
+scores; a table without training rows scores with untrained weights; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,6 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import passages
 from .common import U64, batches_of, hash_spans, mixed, random_odd, release, run_groups, split_words, staged, unstage
 
 #: A word counts as frequent from a 1/TOP of all tokens on, so there are at most TOP of them.
@@ -640,33 +646,49 @@ def scores(docs: DataFrame, training: str = "training") -> DataFrame:
             n = len(first) - 1
             z, z_end = states(classes, data, starts, stops, first)
             doc = np.concatenate([np.repeat(np.arange(n), np.diff(first)), np.arange(n)])
-            own = np.concatenate([hash_spans(data, starts, stops), np.full(n, _end_hash()).view(U64)])
-            own = _signed(own ^ _STATES[np.concatenate([z, z_end])])
+            words = hash_spans(data, starts, stops)
+            passage, begins = passages.cut(words, first)
+            seg, pair = passages.hashes(words, passage, begins)
+            passage = np.concatenate([passage, begins[1:] - 1])  # a text's end is in its last passage
+            own = _signed(np.concatenate([words, np.full(n, _end_hash()).view(U64)]) ^ _STATES[np.concatenate([z, z_end])])
             at = np.minimum(np.searchsorted(h, own), max(0, len(h) - 1))
             hit = h[at] == own if len(h) else np.zeros(len(own), bool)
             d, a = doc[hit], at[hit]
             known = np.bincount(d, c[a] > 0, n).astype(np.int64)
-            sums = [np.bincount(d, x[a], n) for x in (base, price)]
+            cost = np.bincount(passage[hit], price[a], int(begins[-1]))
             order = np.argsort(doc[~hit], kind="stable")
-            rest = own[~hit][order]
+            place = (passage - begins[doc])[~hit][order].astype(np.int32)
+            rest = pa.StructArray.from_arrays([pa.array(place), pa.array(own[~hit][order])], names=["idx", "h"])
             lens = np.bincount(doc[~hit], minlength=n)
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lens)]).astype(np.int32)), pa.array(rest))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lens)]).astype(np.int32)), rest)
+            parts = pa.StructArray.from_arrays([pa.array(_signed(seg)), pa.array(_signed(pair)), pa.array(cost)], names=["seg", "pair", "cost"])
+            parts = pa.ListArray.from_arrays(pa.array(begins.astype(np.int32)), parts)
             ids = pa.array(np.arange(row, row + n))
             row += n
-            yield pa.RecordBatch.from_arrays([ids, batch.column(0), pa.array(np.diff(first) + 1), pa.array(np.diff(offsets)), pa.array(known), pa.array(sums[0]), pa.array(sums[1]), lists], names=["row", "doc_id", "n_tokens", "n_bytes", "n_known", "base", "cost", "rest"])
-
-    schema = "row long, doc_id long, n_tokens long, n_bytes long, n_known long, base double, cost double, rest array<long>"
-    part = staged(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(add, schema), "lm-documents")
-    rest = part.select("row", F.explode("rest").alias("h")).join(priced.where(F.col("n") < n_all / TOP), "h")
-    rest = rest.groupBy("row").agg(F.sum((F.col("c") > 0).cast("long")).alias("k"), F.sum("base").alias("b"), F.sum("cost").alias("s"))
+            yield pa.RecordBatch.from_arrays([ids, batch.column(0), batch.column(2), pa.array(np.diff(first) + 1), pa.array(np.diff(offsets)), pa.array(known), pa.array(np.bincount(d, base[a], n)), parts, lists], names=["row", "doc_id", "training", "n_tokens", "n_bytes", "n_known", "base", "passages", "rest"])
+
+    schema = "row long, doc_id long, training boolean, n_tokens long, n_bytes long, n_known long, base double, passages array<struct<seg:long,pair:long,cost:double>>, rest array<struct<idx:int,h:long>>"
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.coalesce(F.col(training), F.lit(False)).alias("training"))
+    part = staged(rows.mapInArrow(add, schema), "lm-documents")
+    n_all_passages, n_passages, n_texts = (int(x or 0) for x in part.agg(F.sum(F.size("passages")), F.sum(F.when(F.col("training"), F.size("passages"))), F.count_if("training")).first())
+    each = part.select("row", "training", F.posexplode("passages").alias("idx", "p")).select("row", "idx", "training", "p.*")
+    told = staged(passages.decisions(each, passages.counted(each, n_all_passages), n_texts), "lm-told")
+    scored = passages.passage_scores(told, *passages.bits_of(told), n_passages)
+    spelled = F.col("came") == passages.SPELLED
+    by_row = scored.groupBy("row").agg(F.sum("told_score").alias("told"), F.sum(F.when(spelled, F.col("cost"))).alias("cost"), F.collect_list(F.when(~spelled, F.col("idx"))).alias("not_spelled"))  # of one text
+    by_row = staged(by_row, "lm-rows")
+    rest = part.select("row", "rest").join(by_row.where(F.size("not_spelled") > 0).select("row", "not_spelled"), "row", "left")
+    rest = rest.select("row", "not_spelled", F.explode("rest").alias("r")).select("row", "r.h", (~F.coalesce(F.array_contains("not_spelled", F.col("r.idx")), F.lit(False))).alias("counts"))
+    rest = rest.join(priced.where(F.col("n") < n_all / TOP), "h")
+    rest = rest.groupBy("row").agg(F.sum((F.col("c") > 0).cast("long")).alias("k"), F.sum("base").alias("b"), F.sum(F.when(F.col("counts"), F.col("cost"))).alias("s"))
     zero = F.lit(0.0)
-    out = part.drop("rest").join(rest, "row", "left").select(
+    out = part.drop("passages", "rest", "training").join(by_row.drop("not_spelled"), "row").join(rest, "row", "left").select(
         "doc_id",
         "n_tokens",
         (F.col("n_known") + F.coalesce("k", F.lit(0))).alias("n_known"),
         F.lit(n_train).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("b", zero)).alias("base_score"),
-        (F.col("cost") + F.coalesce("s", zero)).alias("score"),
+        (F.col("told") + F.coalesce("cost", zero) + F.coalesce("s", zero)).alias("score"),
         "n_bytes",
     )
     return out.withColumn("bits_per_byte", F.try_divide(-F.col("score") * math.log2(10), F.col("n_bytes"))).drop("n_bytes")

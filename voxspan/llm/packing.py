@@ -130,16 +130,18 @@ def packing_order(doc_ids: np.ndarray, piece: np.ndarray, lengths: np.ndarray) -
 
 
 def pack(piece_rows: DataFrame, most: int = SEQUENCE, block_pieces: int = BLOCK_PIECES) -> DataFrame:
-    """Adds sequence_id and offset to rows with doc_id, piece and length."""
-    rows = staged(piece_rows, "packing-pieces")
+    """Adds sequence_id and offset to rows with doc_id, piece and length; they replace columns of these names."""
+    rows = staged(piece_rows.drop("sequence_id", "offset", "__block"), "packing-pieces")
     blocks = max(1, -(-rows.count() // block_pieces))
     names = rows.columns
 
     def run(group: pa.Table) -> pa.Table:
         group = group.take(pa.array(packing_order(group["doc_id"].fill_null(-1).to_numpy(), group["piece"].to_numpy(), group["length"].to_numpy())))
         bins, offsets, _ = sum_of_squares(group["length"].to_numpy(), most)
-        block = group["block"][0].as_py()
+        block = group["__block"][0].as_py()
         return group.select(names).append_column("sequence_id", pa.array(bins + (block << 24))).append_column("offset", pa.array(offsets))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", sequence_id long, offset long"
-    return run_groups(rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(blocks)).cast("long")), ["block"], run, schema)
+    # the place in the written table keeps rows that repeat, or have no doc_id, from gathering in a block
+    block = F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()), F.lit(blocks)).cast("long")
+    return run_groups(rows.withColumn("__block", block), ["__block"], run, schema)

@@ -23,46 +23,38 @@ from pyspark.sql import functions as F
 
 #: About so many rows for each source partition and each block.
 ROWS_AT_ONCE, MOST_SOURCES, MOST_BLOCKS = 200_000, 2048, 64
+#: Weights of the law that are smaller than this against its mode are left out.
+LEAST_WEIGHT = 1e-20
 
 
 def hypergeometric(rng: random.Random, good: int, bad: int, draws: int) -> int:
-    """How many of `draws` rows out of good + bad are good. Exact at any size.
+    """How many of `draws` rows out of good + bad are good, to the precision of doubles at any size.
 
-    The inverse of the cumulative law, summed outwards from the mode, so that it takes about as many terms as the law is wide.
+    Weights of the law relative to that of its mode, by their ratios, outwards until they vanish; then the inverse of their sums.
     """
     lo, hi = max(0, draws - bad), min(draws, good)
     if lo == hi:
         return lo
     mode = min(hi, max(lo, (draws + 1) * (good + 1) // (good + bad + 2)))
-    lg = math.lgamma
-
-    def log_choose(n: int, k: int) -> float:
-        return lg(n + 1) - lg(k + 1) - lg(n - k + 1)
-
-    p = math.exp(log_choose(good, mode) + log_choose(bad, draws - mode) - log_choose(good + bad, draws))
-    u = rng.random() - p
+    above, below, w, k = [], [], 1.0, mode
+    while k < hi and w > LEAST_WEIGHT:
+        w *= (good - k) / (k + 1) * ((draws - k) / (bad - draws + k + 1))
+        k += 1
+        above.append(w)
+    w, k = 1.0, mode
+    while k > lo and w > LEAST_WEIGHT:
+        w *= k / (good - k + 1) * ((bad - draws + k) / (draws - k + 1))
+        k -= 1
+        below.append(w)
+    u = rng.random() * (1.0 + math.fsum(above) + math.fsum(below)) - 1.0
     if u < 0:
         return mode
-    up = down = mode
-    p_up = p_down = p
-    while True:
-        moved = False
-        if up < hi:
-            p_up *= (good - up) / (up + 1) * (draws - up) / (bad - draws + up + 1)
-            up += 1
-            u -= p_up
-            if u < 0:
-                return up
-            moved = p_up > 1e-18
-        if down > lo:
-            p_down *= down / (good - down + 1) * (bad - draws + down) / (draws - down + 1)
-            down -= 1
-            u -= p_down
+    for step, side in ((1, above), (-1, below)):
+        for i, x in enumerate(side, 1):
+            u -= x
             if u < 0:
-                return down
-            moved = moved or p_down > 1e-18
-        if not moved:  # what rounding has left over
-            return mode
+                return mode + step * i
+    return mode  # what rounding has left over
 
 
 def communication_matrix(sources: list[int], targets: list[int], seed: int) -> list[list[int]]:
@@ -86,13 +78,14 @@ def even(total: int, parts: int) -> list[int]:
 
 
 def shuffle_into_shards(df: DataFrame, keys: list[str], shards: int = 8, seed: int = 7) -> DataFrame:
-    """df with shard and slot (gapless from 0 in each shard). keys: columns that order the rows; equal keys are interchangeable."""
+    """df with shard and slot (gapless from 0 in each shard), which replace columns of these names. keys: columns that order the rows; equal keys are interchangeable."""
+    df = df.drop(*[c for c in ("shard", "slot") if c not in keys])
     n = df.count()
     sources = max(1, min(MOST_SOURCES, -(-n // ROWS_AT_ONCE) * 8))
     per_shard = max(1, min(MOST_BLOCKS, -(-n // (shards * ROWS_AT_ONCE))))
     # the source depends on all keys, so that neither a hot key nor a null gathers rows unless whole rows repeat
-    rows = df.withColumn("_source", F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(sources)).cast("int"))
-    counts = {r[0]: r[1] for r in rows.groupBy("_source").count().collect()}  # one number for each source
+    rows = df.withColumn("__source", F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(sources)).cast("int"))
+    counts = {r[0]: r[1] for r in rows.groupBy("__source").count().collect()}  # one number for each source
     sizes = [counts.get(i, 0) for i in range(sources)]
     blocks = [b for s in even(n, shards) for b in even(s, per_shard)]
     matrix = communication_matrix(sizes, blocks, seed)
@@ -103,11 +96,11 @@ def shuffle_into_shards(df: DataFrame, keys: list[str], shards: int = 8, seed: i
     def order(salt: int) -> list:
         return [F.xxhash64(F.lit(salt), *keys), *keys]
 
-    rows = rows.withColumn("_rank", F.row_number().over(Window.partitionBy("_source").orderBy(*order(seed + 1))) - 1)
-    rows = rows.withColumn("_block", F.size(F.filter(F.get(table, F.col("_source")), lambda x: x <= F.col("_rank"))))
-    rows = rows.withColumn("_place", F.row_number().over(Window.partitionBy("_block").orderBy(*order(seed + 2))) - 1)
-    rows = rows.withColumn("shard", F.floor(F.col("_block") / per_shard).cast("int")).withColumn("slot", (F.get(offsets, F.col("_block")) + F.col("_place")).cast("long"))
-    return rows.drop("_source", "_rank", "_block", "_place")
+    rows = rows.withColumn("__rank", F.row_number().over(Window.partitionBy("__source").orderBy(*order(seed + 1))) - 1)
+    rows = rows.withColumn("__block", F.size(F.filter(F.get(table, F.col("__source")), lambda x: x <= F.col("__rank"))))
+    rows = rows.withColumn("__place", F.row_number().over(Window.partitionBy("__block").orderBy(*order(seed + 2))) - 1)
+    rows = rows.withColumn("shard", F.floor(F.col("__block") / per_shard).cast("int")).withColumn("slot", (F.get(offsets, F.col("__block")) + F.col("__place")).cast("long"))
+    return rows.drop("__source", "__rank", "__block", "__place")
 
 
 def shard_documents(docs: DataFrame, shards: int = 8, seed: int = 7) -> DataFrame:
