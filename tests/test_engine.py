@@ -221,3 +221,68 @@ def test_updates_decay(spark):
 def test_defaults_have_no_semantics(spark):
     row = with_defaults(spark.createDataFrame([(1.0, 2.0, 3.0)], "x float, y float, z float")).first()
     assert not row.has_semantics and row.label == 0
+
+
+def test_pace_drops_what_comes_early_or_while_it_runs():
+    from voxspan.streaming.jobs import Pace
+
+    now, ran = [0.0], []
+
+    def each(df, batch):
+        ran.append(batch)
+        if batch == 4:
+            now[0] += 10
+            pace(None, 99)  # comes while batch 4 runs
+
+    pace = Pace(each, 2.0, clock=lambda: now[0])
+    for batch, t in enumerate([0.0, 0.5, 1.9, 2.0, 5.0, 15.5]):
+        now[0] = t
+        pace(None, batch)
+    assert ran == [0, 3, 4, 5] and pace.ran == 4 and pace.dropped == 3  # 1, 2, and 99 while 4 ran
+
+
+def test_later_feature_files_need_the_columns_of_the_first(spark, tmp_path):
+    for name, text in (("a.csv", "depth,label\n1,0\n"), ("b.csv", "label,more,depth\n2,x,7\n"), ("c.csv", "label\n1\n")):
+        (tmp_path / name).write_text(text)
+    both = files.read_features(spark, [f"{tmp_path}/b.csv", f"{tmp_path}/a.csv"]).select("depth", "label").collect()
+    assert sorted((r.depth, r.label) for r in both) == [("1", "0"), ("7", "2")]
+    with pytest.raises(ValueError, match="depth"):
+        files.read_features(spark, [f"{tmp_path}/a.csv", f"{tmp_path}/c.csv"])
+
+
+def test_what_a_search_says(spark, monkeypatch):
+    monkeypatch.setattr(graph, "QUERIES_AT_ONCE", 2)
+    rows = [(0, i, 1 if i == 4 else 0, 0.1, False, 0, float(i), 0.0, 0.0, 0.0, 0.0, 0.0, 1.0, 1.0, 1.0) for i in range(6)]
+    leaves = spark.createDataFrame(rows, "frame_id int, leaf_id long, label int, probability float, is_cross_floor boolean, room_id int, cx double, cy double, cz double, min_x float, min_y float, min_z float, max_x float, max_y float, max_z float")
+    costs = spark.createDataFrame([(0, i, i + 1, 1.0, 0) for i in (0, 1)], "frame_id int, src_leaf_id long, dst_leaf_id long, cost double, ord int")
+    asked = [(0, 1, 0, 2, None, 0.5), (0, 2, None, 2, None, None), (0, 3, 0, None, None, None), (0, 4, 0, 77, None, None), (0, 5, 4, 0, None, None), (0, 6, 0, 4, None, None), (0, 7, 0, 5, None, None), (0, 8, 3, 3, 0.25, 0.125)]
+    q = spark.createDataFrame(asked, "frame_id int, query_id long, start_leaf long, goal_leaf long, start_snap double, goal_snap double")
+    got = {r.query_id: r for r in graph.find_paths(leaves, costs, q, PlannerConfig()).collect()}
+    assert [got[i].message for i in range(1, 9)] == [
+        "Path found (goal snapped 0.500000m)", graph.NO_START, graph.NO_GOAL, graph.OUT_OF_RANGE, graph.START_BLOCKED, graph.GOAL_BLOCKED, graph.NO_PATH, "Path found (start snapped 0.250000m, goal snapped 0.125000m)",
+    ]
+    assert got[1].expanded == 3 and got[1].total_cost == 2.0 and got[7].expanded == 3 and got[8].expanded == 0
+    capped = graph.find_paths(leaves, costs, q.where("query_id = 1"), PlannerConfig(max_expansions=2)).first()
+    assert capped.message == graph.CAPPED and capped.expanded == 2
+
+
+def test_numbers_over_ordered_ranges(spark):
+    df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k")).repartition(5)
+    got = ingest.numbered(df, ["k"]).collect()
+    assert all(r.k == r.seq for r in got) and len(got) == 1000
+
+
+def test_forests_are_saved_whole(spark, tmp_path):
+    rows = spark.range(60).select((F.col("id") % 3).cast("int").alias("label"), (F.col("id") % 3 * 1.0).alias("a"), (F.col("id") % 5 * 1.0).alias("b"), (F.col("id") % 3 / 2.0).alias("obstacle_probability"))
+    model = forest.train(rows, ["a", "b"], trees=3, depth=3)
+    files.save_forests(model, f"{tmp_path}/m")
+    back = files.load_forests(spark, f"{tmp_path}/m")
+    tables = [sorted(map(tuple, forest.forest_table(m, spark).select("forest", "tree", "node", "left", "right", "feature", "threshold").collect())) for m in (model, back)]
+    assert tables[0] == tables[1] and back.inputs == ["a", "b"]
+
+
+def test_memory_is_told():
+    from voxspan.operators import view
+
+    told = view.memory_kb()
+    assert 0 < told["rss_kb_after"] <= told["peak_rss_kb"] * 1.1

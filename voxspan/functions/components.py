@@ -37,12 +37,10 @@ def smallest_reachable(nodes: DataFrame, links: DataFrame, key: str = "frame_id"
     now = written(nodes.select(key, "id", F.col("id").alias("component")).distinct(), "labels")
     for _ in range(most):
         near = both.join(now.select(key, F.col("id").alias("b"), F.col("component").alias("c")), [key, "b"]).groupBy(key, "a").agg(F.min("c").alias("c"))
-        spread = now.join(near.withColumnRenamed("a", "id"), [key, "id"], "left").select(key, "id", F.least("component", F.coalesce("c", "component")).alias("component"))
-        spread = written(spread, "labels")
-        jumped = spread.join(spread.select(key, F.col("id").alias("component"), F.col("component").alias("c")), [key, "component"], "left")
-        after = written(jumped.select(key, "id", F.least("component", F.coalesce("c", "component")).alias("component")), "labels")
-        moved = after.join(now.select(key, "id", F.col("component").alias("was")), [key, "id"]).where("component <> was").limit(1).count()
-        now = after
-        if not moved:
-            return now
+        spread = now.join(near.withColumnRenamed("a", "id"), [key, "id"], "left").select(key, "id", F.col("component").alias("was"), F.least("component", F.coalesce("c", "component")).alias("component"))
+        jumped = spread.join(now.select(key, F.col("id").alias("component"), F.col("component").alias("c")), [key, "component"], "left")
+        # one table a round, which also says whether a label has moved
+        now = written(jumped.select(key, "id", F.least("component", F.coalesce("c", "component")).alias("component"), "was"), "labels")
+        if now.where("component <> was").isEmpty():
+            return now.select(key, "id", "component")
     raise RuntimeError(f"components did not settle in {most} rounds")
