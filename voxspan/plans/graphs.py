@@ -19,8 +19,11 @@ IDS = ["src_leaf_id", "dst_leaf_id"]
 
 
 def _tree(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    cloud = adapters.embedding_cloud(spark, sf_dir)
-    roots = octree.root_bounds(cloud)
+    return _tree_of(adapters.embedding_cloud(spark, sf_dir))
+
+
+def _tree_of(cloud: DataFrame) -> tuple[DataFrame, DataFrame]:
+    roots = written(octree.root_bounds(cloud), "roots")  # a row for each frame, which every later stage reads
     return graph.with_leaf_id(octree.leaves(cloud, CFG, roots), CFG), roots
 
 
@@ -235,12 +238,24 @@ GRAPH_EDGES = LEAVES + FACES + _NEAR + _COMP + _STATS + _GRAPH + " SELECT s_leaf
 
 
 def _costs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    tree, roots = _tree(spark, sf_dir)
+    return _costs_of(adapters.embedding_cloud(spark, sf_dir))
+
+
+def _costs_of(cloud: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Leaves, roots and costed edges; what several later stages read is written once."""
+    tree, roots = _tree_of(cloud)
     tree = written(tree, "tree")
-    edges = graph.graph_edges(tree, neighbors.face_neighbors(tree, roots, CFG), PLAN)
+    faces = written(neighbors.face_neighbors(tree, roots, CFG).select("frame_id", "src_depth", "src_path", "dst_depth", "dst_path", "dir"), "faces")
+    edges = written(graph.graph_edges(tree, faces, PLAN), "edges")
     return tree, roots, graph.edge_costs(edges, tree, CFG, PLAN)
 
 
+def edge_cost_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Costs over the dense cloud of all years, a graph for each; its pairs are too many for SQL without the grid of cells."""
+    tree, _, costs = _costs_of(adapters.lineitem_cloud(spark, sf_dir))
+    return costs.groupBy("frame_id").agg(F.count(F.lit(1)).alias("edges"), r4(F.sum("cost"), "cost", 0))
+
+
 def edge_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _costs(spark, sf_dir)[2].select(*IDS, r4("cost", "cost", 3))
 
@@ -388,6 +403,6 @@ PATH_CHANGES = """WITH p AS (SELECT o_custkey % 100 AS path_id, o_orderkey AS fr
 n AS (SELECT *, lag(x) OVER w AS bx, lag(z) OVER w AS bz FROM p WINDOW w AS (PARTITION BY path_id ORDER BY frame))
 SELECT path_id, count(*) AS frames, count(*) FILTER (bx IS NULL OR sqrt((x - bx) * (x - bx) + (z - bz) * (z - bz)) > 0.05) AS changes FROM n GROUP BY 1"""
 
-NAMES = ["face_neighbors", "traversal_cost", "traversal_edges", "flood_fill", "obstacle_cells", "clearance_semijoin", "segment_block", "stair_edges", "stair_components", "stair_component_stats", "floor_gate", "graph_edges", "edge_cost", "heuristic_cost", "endpoint_snap", "leaf_colours", "render_cap", "endpoint_lines", "path_markers", "astar_path", "shortest_paths", "path_segments", "path_changes"]
+NAMES = ["face_neighbors", "traversal_cost", "traversal_edges", "flood_fill", "obstacle_cells", "clearance_semijoin", "segment_block", "stair_edges", "stair_components", "stair_component_stats", "floor_gate", "graph_edges", "edge_cost", "edge_cost_dense", "heuristic_cost", "endpoint_snap", "leaf_colours", "render_cap", "endpoint_lines", "path_markers", "astar_path", "shortest_paths", "path_segments", "path_changes"]
 QUERIES = {n: globals()[n] for n in NAMES}
 SQL = {n: globals()[n.upper()] for n in NAMES if n.upper() in globals()}
