@@ -489,6 +489,52 @@ def test_toxicity_held_out():
     assert (((s >= toxicity.THRESHOLD) == labels[350:]).mean() > 0.95) and (n >= 1).all()
 
 
+def test_toxicity_network_is_that_of_a_scalar_version():
+    """Two gated recurrent networks, attention and pooling, with one number at a time."""
+    import math
+
+    rng = np.random.default_rng(3)
+    w = {k: v.astype(np.float64) for k, v in toxicity.new_weights(2).items()}
+    steps, H = 5, toxicity.HIDDEN
+    x = rng.normal(size=(steps, toxicity.CHANNELS, 2))
+    mask = (np.arange(steps)[:, None] < np.array([5, 3])).astype(float)
+    got = toxicity.forward(w, x, mask)
+    sig = lambda v: 1 / (1 + math.exp(-v))
+    for k in range(2):
+        states = [[0.0] * (2 * H) for _ in range(steps)]
+        for d, order, off in (("f", range(steps), 0), ("b", range(steps - 1, -1, -1), H)):
+            h = [0.0] * H
+            for t in order:
+                g = [sum(w["W" + d][i, c] * x[t, c, k] for c in range(toxicity.CHANNELS)) + w["c" + d][i, 0] for i in range(3 * H)]
+                a = [sum(w["U" + d][i, j] * h[j] for j in range(H)) for i in range(3 * H)]
+                if mask[t, k]:
+                    new = []
+                    for i in range(H):
+                        z, r = sig(g[i] + a[i]), sig(g[H + i] + a[H + i])
+                        new.append(z * h[i] + (1 - z) * math.tanh(g[2 * H + i] + r * a[2 * H + i]))
+                    h = new
+                states[t][off : off + H] = h
+        e = [sum(w["v"][i, 0] * math.tanh(sum(w["A"][i, j] * s[j] for j in range(2 * H))) for i in range(H)) - (0 if mask[t, k] else 30) for t, s in enumerate(states)]
+        share = [math.exp(v) / sum(map(math.exp, e)) for v in e]
+        want = sum(w["u"][j, 0] * sum(p * s[j] for p, s in zip(share, states)) for j in range(2 * H)) + w["b"][0, 0]
+        assert abs(got[k] - want) < 1e-5
+
+
+def test_toxicity_is_fitted_on_a_bounded_sum(spark):
+    texts, labels = labelled(40, 3)
+    rows = docs(spark, [*texts, texts[0]], [*range(40), 0])
+    known = spark.createDataFrame([(i, int(y)) for i, y in enumerate(labels)], "doc_id long, toxic int")
+    seen = []
+    own, toxicity.fit = toxicity.fit, lambda t, y: seen.append((t, y))
+    try:
+        toxicity.train(rows, known, total=2000)
+        toxicity.train(rows, known)
+    finally:
+        toxicity.fit = own
+    assert sum(map(len, seen[0][0])) <= 2000 < sum(map(len, seen[1][0])) and sorted(seen[1][0]) == sorted(texts)
+    assert all(labels[texts.index(t)] == y for t, y in zip(*seen[1]))
+
+
 def test_toxicity_gradients():
     rng = np.random.default_rng(0)
     w = {k: v.astype(np.float64) for k, v in toxicity.new_weights(1).items()}

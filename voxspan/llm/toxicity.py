@@ -5,8 +5,8 @@ word input (the word's own log-odds); the log-odds tables are fitted on the trai
 training text through tables that were fitted without its fold. A text is scored over all its overlapping windows of
 words; its logit is that of its worst window, and training follows that window.
 
-The classifier is fitted on at most TRAIN_DOCS labelled texts of at most TRAIN_CHARS characters each (a documented
-bound); scoring covers all texts and all their windows.
+The classifier is fitted on at most TRAIN_DOCS labelled texts of at most TRAIN_CHARS characters each and TRAIN_SUM in all
+(a documented bound; texts that do not fit are left out); scoring covers all texts and all their windows.
 
 Edge cases: null and empty texts are scored as a window without words; a very long text is many windows; repeated rows
 get equal scores; without labelled rows of both classes every score is the share of label 1 (0.0 if no row has a label);
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import BYTE_VALUES, U64, batches_of, hash_spans, mixed, random_odd, split_words
 
-TRAIN_DOCS, TRAIN_CHARS = 3000, 50_000
+TRAIN_DOCS, TRAIN_CHARS, TRAIN_SUM = 3000, 50_000, 20_000_000
 WINDOW, STRIDE = 32, 16
 HIDDEN, CHANNELS, SLOTS = 8, 5, 1 << 20
 GRAMS = (4, 6)
@@ -314,15 +314,23 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 5) -> Model:
     return Model(full, weights, max(float(a), 0.05), float(b))
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS, chars: int = TRAIN_CHARS) -> Model:
-    """docs: doc_id, text; labels: doc_id, toxic. Fits on at most `most` labelled texts, chosen by a hash of doc_id."""
+def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS, chars: int = TRAIN_CHARS, total: int = TRAIN_SUM) -> Model:
+    """docs: doc_id, text; labels: doc_id, toxic. Fits on at most `most` labelled texts, chosen by a hash of doc_id; a row that repeats counts once."""
     known = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     # labels of texts that are missing or too long leave room for others
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * most)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.length("text") <= chars)
-    rows = rows.join(F.broadcast(known), "doc_id")  # at most 2 * most rows of two numbers
-    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(most).collect()
-    return fit([r["text"] for r in rows], np.array([min(1, max(0, r["toxic"])) for r in rows]))
+    rows = rows.join(F.broadcast(known), "doc_id").withColumn("t", F.xxhash64("text"))  # at most 2 * most rows of two numbers
+    picked, room = {}, total
+    for r in rows.select("doc_id", "t", "toxic", F.length("text").alias("n")).distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "t").limit(most).collect():  # numbers
+        if r["n"] <= room:
+            picked[r["doc_id"], r["t"]] = min(1, max(0, r["toxic"]))
+            room -= r["n"]
+    if not picked:
+        return fit([], np.zeros(0, np.int64))
+    wanted = docs.sparkSession.createDataFrame(list(picked), "doc_id long, t long")
+    texts = {(r["doc_id"], r["t"]): r["text"] for r in rows.select("doc_id", "t", "text").join(F.broadcast(wanted), ["doc_id", "t"]).dropDuplicates(["doc_id", "t"]).collect()}  # `total` characters at most
+    return fit([texts[k] for k in picked], np.array(list(picked.values())))
 
 
 def score(docs: DataFrame, model: Model, keep: bool = False) -> DataFrame:
