@@ -1,6 +1,7 @@
 """The registered queries against their contracts, on tables with nulls, repeated rows, empty and long texts and clashing columns, and on empty tables."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -257,5 +258,9 @@ def test_pipeline_as_a_whole(spark, folder):
     # nothing but copies and repeated lines went: all other texts are there
     texts, kept = some_texts(), {r.text for r in rows}
     assert all(t in kept for t in texts[5:25]) and sum(r.text == texts[0] for r in rows) == 1
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") + "/voxspan"
+    there = set(os.listdir(shared))
     pieces = corpus_pipeline.run(spark, folder[0])
+    new = sorted(x.rsplit("-", 1)[0] for x in set(os.listdir(shared)) - there)
+    assert new == ["packing-pieces", "pipeline-MinHash-near-dedup"]
     assert pieces.select("doc_id").distinct().count() == len({r.doc_id for r in rows})

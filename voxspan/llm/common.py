@@ -6,6 +6,7 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -61,16 +62,43 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_path = path
+    if _scratch:
+        _scratch[-1].add(path)
     return out
 
 
+#: The tables written within each open scratch().
+_scratch: list[set[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that are staged within are removed at its end, but for those that the given function was called with."""
+    own: set[str] = set()
+    _scratch.append(own)
+
+    def keep(df: DataFrame) -> DataFrame:
+        own.discard(df._staged_path)
+        return df
+
+    try:
+        yield keep
+    finally:
+        _scratch.remove(own)
+        for path in own:
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def unstage(df: DataFrame) -> None:
     """Remove a staged table that no later plan reads."""
     path = getattr(df, "_staged_path", None)
     if path:
-        jvm = df.sparkSession._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+        _delete(df.sparkSession, path)
 
 
 def release() -> None:
