@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxspan.llm.common import staged, table
+from voxspan.llm.common import scratch, staged, table, unstage
 
 
 def _like(df: DataFrame, docs: DataFrame) -> DataFrame:
@@ -59,5 +59,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, applied to documents."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        before = docs
+        with scratch(spark) as keep:  # what a stage writes on its way goes when its result is there
+            docs = keep(staged(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}"))
+        unstage(before)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -8,7 +8,7 @@ from voxspan import plans
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: Queries that run many small jobs are compared at sf0.01 by the driver.
-SLOW = {"quota_sample", "flood_fill", "graph_edges", "edge_cost", "stair_component_stats"}
+SLOW = {"quota_sample", "flood_fill", "graph_edges", "edge_cost", "stair_component_stats", "shortest_paths", "path_markers"}
 
 
 @pytest.fixture(scope="module")
