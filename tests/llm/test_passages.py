@@ -148,7 +148,8 @@ def test_passages_are_those_of_a_scalar_version(spark, monkeypatch, hot):
         seg, pair = (x.view(np.int64).tolist() for x in passages.hashes(h, own, at))
         rows += [(i, k, training[i], s, p, 0.0) for k, (s, p) in enumerate(zip(seg, pair))]
     each = spark.createDataFrame(rows, "row long, idx int, training boolean, seg long, pair long, cost double")
-    told = common.staged(passages.decisions(each, passages.counted(each, len(rows)), sum(training)), "t")
+    texts_of = each.groupBy("row").agg(F.first("training").alias("training"), F.collect_list("cost").alias("costs"))
+    told = common.staged(passages.decisions(texts_of, passages.counted(each, len(rows)), sum(training)), "t")
     n = sum(r[2] for r in rows)
     got = {(r.row, r.idx): (r.came, r.told_score) for r in passages.passage_scores(told, *passages.bits_of(told), n).collect()}
     want = scalar_passages(texts, [int(t) for t in training])

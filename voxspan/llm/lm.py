@@ -672,7 +672,8 @@ def scores(docs: DataFrame, training: str = "training") -> DataFrame:
     part = staged(rows.mapInArrow(add, schema), "lm-documents")
     n_all_passages, n_passages, n_texts = (int(x or 0) for x in part.agg(F.sum(F.size("passages")), F.sum(F.when(F.col("training"), F.size("passages"))), F.count_if("training")).first())
     each = part.select("row", "training", F.posexplode("passages").alias("idx", "p")).select("row", "idx", "training", "p.*")
-    told = staged(passages.decisions(each, passages.counted(each, n_all_passages), n_texts), "lm-told")
+    texts = part.select("row", "training", F.transform("passages", lambda p: p["cost"]).alias("costs"))
+    told = staged(passages.decisions(texts, passages.counted(each, n_all_passages), n_texts), "lm-told")
     scored = passages.passage_scores(told, *passages.bits_of(told), n_passages)
     spelled = F.col("came") == passages.SPELLED
     by_row = scored.groupBy("row").agg(F.sum("told_score").alias("told"), F.sum(F.when(spelled, F.col("cost"))).alias("cost"), F.collect_list(F.when(~spelled, F.col("idx"))).alias("not_spelled"))  # of one text

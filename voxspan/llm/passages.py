@@ -18,10 +18,12 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, mixed, random_odd, staged
+from .common import U64, mixed, random_odd, release, staged
 
 #: One of so many pairs of words ends a passage.
 PLACE = 24
@@ -29,7 +31,7 @@ PLACE = 24
 SPELLED, KNOWN, FOLLOWS, BEGIN = range(4)
 #: Passages that make up this share of all or more meet their counts without a shuffle: there are HOT of them at most.
 HOT = 100_000
-#: Buckets of how often the passage before has been seen.
+#: Buckets of how often the passage before has been seen: none, and then powers of two.
 SIZES = 8
 _A, _B, _C, _END, _START = (int(x) for x in random_odd(5, 701))
 
@@ -66,38 +68,53 @@ def hashes(words: np.ndarray, own: np.ndarray, at: np.ndarray) -> tuple[np.ndarr
 
 
 def counted(passages: DataFrame, n_passages: int) -> DataFrame:
-    """row, idx, training, cost, c_seg, c_pair: how often each passage, and it after the one before, is in training texts.
+    """row, seen: for each text with passages that others have, a list of at (2 * passage, and one more for it after the one before) and c (how often in training texts).
 
-    passages: row, idx, training, seg, pair, cost. A hash that is there once needs no count.
+    passages: row, idx, training, seg, pair. A hash that is there once needs no count; seg and pair are hashes of their own kinds.
     """
-    keys = passages.select("row", "idx", "training", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("seg").alias("key")), F.struct(F.lit(1).alias("kind"), F.col("pair").alias("key")))).alias("k")).select("row", "idx", "training", "k.*")
-    counts = keys.groupBy("kind", "key").agg(F.sum(F.col("training").cast("long")).alias("c"), F.count(F.lit(1)).alias("n")).where("n > 1 and c > 0")
+    both = F.array(F.struct((F.col("idx") * 2).alias("at"), F.col("seg").alias("key")), F.struct((F.col("idx") * 2 + 1).alias("at"), F.col("pair").alias("key")))
+    keys = passages.select("row", "training", F.explode(both).alias("k")).select("row", "training", "k.*")
+    counts = keys.groupBy("key").agg(F.sum(F.col("training").cast("int")).alias("c"), F.count(F.lit(1)).alias("n")).where("n > 1 and c > 0")
     counts = staged(counts, "lm-passage-counts")
     limit = max(1000, 2 * n_passages // HOT)
-    hot = F.broadcast(counts.where(F.col("n") > limit).select(F.col("kind").alias("k1"), F.col("key").alias("k2"), "c"))
-    same = (F.col("kind") == F.col("k1")) & (F.col("key") == F.col("k2"))
-    met = keys.join(hot, same).select("row", "idx", "kind", "c", "training")
-    rest = keys.join(hot, same, "left_anti").join(counts.where(F.col("n") <= limit).select("kind", "key", "c"), ["kind", "key"]).select("row", "idx", "kind", "c", "training")
-    without_own = F.col("c") - F.col("training").cast("long")
-    seen = met.union(rest).where(without_own > 0)
-    return seen.groupBy("row", "idx").agg(*[F.coalesce(F.max(F.when(F.col("kind") == k, without_own)), F.lit(0)).alias(name) for k, name in enumerate(("c_seg", "c_pair"))])
-
-
-def bucket(n: Column) -> Column:
-    """0 for none, and then by powers of two."""
-    return F.when(n <= 0, 0).otherwise(F.least(F.lit(SIZES - 1), F.floor(F.log2(n.cast("double"))).cast("int") + 1)).cast("int")
-
-
-def decisions(passages: DataFrame, seen: DataFrame, n_texts: int) -> DataFrame:
-    """row, idx, training, cost, c_seg, c_pair, n_prev, came, and the cell (size, last, before) of each passage."""
-    whole = passages.select("row", "idx", "training", "cost").join(seen, ["row", "idx"], "left")
-    whole = whole.withColumn("c_seg", F.coalesce("c_seg", F.lit(0))).withColumn("c_pair", F.coalesce("c_pair", F.lit(0)))
-    whole = whole.withColumn("came", F.when(F.col("c_pair") > 0, FOLLOWS).when(F.col("c_seg") > 0, KNOWN).otherwise(SPELLED))
-    in_text = Window.partitionBy("row").orderBy("idx")  # the passages of one text
-    start = F.lit(n_texts) - F.col("training").cast("long")
-    whole = whole.withColumn("n_prev", F.coalesce(F.lag("c_seg").over(in_text), start))
-    whole = whole.withColumn("last", F.coalesce(F.lag("came", 1).over(in_text), F.lit(BEGIN))).withColumn("before", F.coalesce(F.lag("came", 2).over(in_text), F.lit(BEGIN)))
-    return whole.withColumn("size", bucket(F.col("n_prev")))
+    hot = F.broadcast(counts.where(F.col("n") > limit).select(F.col("key").alias("hot"), "c"))
+    met = keys.join(hot, F.col("key") == F.col("hot")).select("row", "at", "c", "training")
+    rest = keys.join(hot, F.col("key") == F.col("hot"), "left_anti").join(counts.where(F.col("n") <= limit).select("key", "c"), "key").select("row", "at", "c", "training")
+    without_own = F.col("c") - F.col("training").cast("int")
+    seen = met.union(rest).select("row", "at", without_own.alias("c")).where("c > 0")
+    return seen.groupBy("row").agg(F.collect_list(F.struct("at", "c")).alias("seen"))  # of one text
+
+
+def decisions(texts: DataFrame, seen: DataFrame, n_texts: int) -> DataFrame:
+    """row, idx, training, cost, c_seg, c_pair, n_prev, came, and the cell (size, last, before) of each passage.
+
+    texts: row, training, costs (of its passages); seen: as counted() gives it. A text's passages stay together.
+    """
+    whole = texts.join(seen, "row", "left").select("row", "training", "costs", "seen.at", "seen.c")
+
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 500):
+                part = batch.slice(lo, 500)
+                row, training = part.column(0).to_numpy(), part.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+                n = pc.list_value_length(part.column(2)).to_numpy()
+                told = pc.fill_null(pc.list_value_length(part.column(3)), 0).to_numpy()
+                begin = np.cumsum(n) - n
+                c = np.zeros(2 * int(n.sum()), np.int64)
+                c[part.column(3).flatten().to_numpy() + 2 * np.repeat(begin, told)] = part.column(4).flatten().to_numpy()
+                c_seg, c_pair = c[::2], c[1::2]
+                came = np.where(c_pair > 0, FOLLOWS, np.where(c_seg > 0, KNOWN, SPELLED)).astype(np.int32)
+                text = np.repeat(np.arange(len(n)), n)
+                idx = np.arange(len(text)) - begin[text]
+                back = lambda x, k, first: np.where(idx >= k, np.concatenate([np.zeros(k, x.dtype), x])[: len(x)], first)
+                n_prev = back(c_seg, 1, n_texts - training[text])
+                size = np.where(n_prev > 0, np.minimum(SIZES - 1, np.frexp(np.maximum(n_prev, 1).astype(float))[1]), 0)  # powers of two
+                cells = [x.astype(np.int32) for x in (back(came, 1, BEGIN), back(came, 2, BEGIN), size)]
+                cols = [row[text], idx.astype(np.int32), training[text].astype(bool), part.column(2).flatten(), c_seg, c_pair, n_prev, came, *cells]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["row", "idx", "training", "cost", "c_seg", "c_pair", "n_prev", "came", "last", "before", "size"])
+        release()
+
+    return whole.mapInArrow(run, "row long, idx int, training boolean, cost double, c_seg long, c_pair long, n_prev long, came int, last int, before int, size int")
 
 
 @dataclass
