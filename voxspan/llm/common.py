@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -17,6 +18,8 @@ U64 = np.uint64
 _libc = ctypes.CDLL(None) if hasattr(ctypes.CDLL(None), "malloc_trim") else None
 #: Texts are hashed in chunks of about so many bytes, which bounds a worker's memory.
 CHUNK_BYTES = 1_000_000
+#: Spans are hashed so many bytes at a time.
+SPAN_BYTES = 1 << 18
 
 
 #: Rows of an Arrow batch; documents are long, so Spark's default of 10,000 rows makes batches of tens of MB.
@@ -103,6 +106,7 @@ def unstage(df: DataFrame) -> None:
 
 def release() -> None:
     """Give freed memory back to the system at the end of a task: idle workers stay, and others share the executor's limit."""
+    gc.collect()
     pa.default_memory_pool().release_unused()
     if _libc is not None:
         _libc.malloc_trim(0)
@@ -185,7 +189,12 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: n
     if len(starts) == 0:
         return np.zeros(0, U64)
     lens = ends - starts
-    first = np.cumsum(lens) - lens
+    stop = np.cumsum(lens)
+    if int(stop[-1]) > SPAN_BYTES and len(starts) > 1:  # some spans at a time, which bounds what is held
+        cuts = np.unique(np.concatenate([[0], np.searchsorted(stop, np.arange(SPAN_BYTES, int(stop[-1]), SPAN_BYTES)) + 1, [len(starts)]]))
+        if len(cuts) > 2:
+            return np.concatenate([hash_spans(data, starts[a:b], ends[a:b], values) for a, b in zip(cuts[:-1], cuts[1:])])
+    first = stop - lens
     pos = np.arange(int(lens.sum()), dtype=np.int64) - np.repeat(first, lens)
     at = pos + np.repeat(starts, lens)
     terms = values[data[at]] * _position_values(int(lens.max()))[pos]
