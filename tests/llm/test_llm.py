@@ -96,7 +96,8 @@ def test_near_duplicates_edge_tables(spark):
 
 def test_near_duplicates_in_long_lists(spark, monkeypatch):
     """Lists of many blocks, with groups that do not connect and some that connect by their middle alone."""
-    monkeypatch.setattr(minhash, "BLOCK_DOCS", 4)
+    monkeypatch.setattr(minhash, "BLOCK_DOCS", 8)
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 230)  # four documents of 57
     rng = random.Random(8)
     base = [f"b{i}" for i in range(60)]
     texts = []

@@ -11,7 +11,7 @@ match threshold is retained under the first token that both have posted, and now
 its retained pairs, never the pairs. There links are confirmed on full shingle sets, and a pair that confirmed links
 connect already is not compared.
 
-Equal shingle sets are one class from the start. A long list is dealt to pairs of bounded blocks, in two rounds: first
+Equal shingle sets are one class from the start. A list of many documents or shingles is dealt to pairs of bounded blocks, in two rounds: first
 each block by itself and with the list's first block, then, after the components of what was confirmed, the other pairs
 of blocks, but only for documents that are not yet connected. So a large group of near copies costs two rows for each.
 
@@ -31,7 +31,7 @@ from .common import HUB, HUBS, U64, _to_least, batches_of, block_pairs, componen
 
 #: With 32 coordinates a pair at similarity 0.8 agrees in fewer than 16 once in 15,000 times.
 COORDS, MATCHES = 32, 16
-BLOCK_DOCS = 1024
+BLOCK_DOCS, BLOCK_SHINGLES = 1024, 300_000
 #: Lists of so few documents have nothing worth skipping.
 FEW = 32
 #: Up to so many ids of documents to look up are sent to all tasks; more meet the texts by a shuffle.
@@ -158,15 +158,15 @@ def collisions(sig: np.ndarray, matches: int):
 
 
 def posting_lists(reps: DataFrame, matches: int, coords: int) -> DataFrame:
-    """token, cid, n_shingles, tokens, before (tokens that the document has posted ahead of this one), posts."""
-    posted = reps.select("cid", F.explode("tokens").alias("token"))
-    common = posted.groupBy("token").agg(F.count(F.lit(1)).alias("posts")).where("posts > 1")
+    """token, cid, n_shingles, tokens, before (tokens that the document has posted ahead of this one), posts, total (shingles of its documents)."""
+    posted = reps.select("cid", "n_shingles", F.explode("tokens").alias("token"))
+    common = posted.groupBy("token").agg(F.count(F.lit(1)).alias("posts"), F.sum("n_shingles").alias("total")).where("posts > 1")
     prefix = coords - matches + 1
-    own = posted.join(common, "token").groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("posts", "token"))).alias("posted"))  # coords at most
+    own = posted.drop("n_shingles").join(common, "token").groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("posts", "token", "total"))).alias("posted"))  # coords at most
     # a token that is posted once stands before all others in the prefix, and joins with nothing
     own = own.select("cid", F.expr(f"slice(posted, 1, greatest(0, {prefix} - ({coords} - size(posted))))").alias("posted")).where("size(posted) > 0")
     entries = own.join(reps.select("cid", "n_shingles", "tokens"), "cid").select("cid", "n_shingles", "tokens", F.col("posted.token").alias("all"), F.posexplode("posted").alias("i", "p"))
-    return entries.select("cid", "n_shingles", "tokens", F.slice("all", F.lit(1), F.col("i")).alias("before"), "p.token", "p.posts")
+    return entries.select("cid", "n_shingles", "tokens", F.slice("all", F.lit(1), F.col("i")).alias("before"), "p.token", "p.posts", "p.total")
 
 
 def retained(dealt: DataFrame, matches: int, coords: int, percent: int) -> DataFrame:
@@ -269,7 +269,7 @@ def confirmed(docs: DataFrame, members: DataFrame, reps: DataFrame, k: int, perc
 
 def linked_classes(docs: DataFrame, reps: DataFrame, k: int, percent: int, coords: int, matches: int) -> DataFrame:
     """id, component of the classes that have a link."""
-    lists = posting_lists(reps, matches, coords).withColumn("blocks", F.ceil(F.col("posts") / BLOCK_DOCS)).withColumn("comp", F.lit(None).cast("long"))
+    lists = posting_lists(reps, matches, coords).withColumn("blocks", F.greatest(F.ceil(F.col("posts") / BLOCK_DOCS), F.ceil(F.col("total") / BLOCK_SHINGLES))).withColumn("comp", F.lit(None).cast("long"))
     columns = ["token", "lo", "hi", "side", "cid", "n_shingles", "tokens", "before", "comp"]
     side = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
     # first round: a block with itself, and with the first one; those of the first block meet all others
