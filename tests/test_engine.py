@@ -286,3 +286,12 @@ def test_memory_is_told():
 
     told = view.memory_kb()
     assert 0 < told["rss_kb_after"] <= told["peak_rss_kb"] * 1.1
+
+
+def test_a_point_on_a_cut_finer_than_a_leaf(spark):
+    # the coarse leaf ends at x = 4; the fine one begins there and ends at y = 2, a cut inside the coarse one
+    leaves = spark.createDataFrame([(0, 1, 0, 4.0, 4.0, 4.0), (0, 2, 8, 6.0, 2.0, 2.0)], "frame_id int, depth int, path long, max_x float, max_y float, max_z float")
+    roots = spark.createDataFrame([(0, *[0.0] * 3, *[8.0] * 3)], "frame_id int, " + ", ".join(f"root_{s}_{a} float" for s in ("min", "max") for a in "xyz"))
+    points = spark.createDataFrame([(0, 4.0, 2.0, 1.5), (0, 4.0, 3.5, 1.5), (0, 4.0, 5.0, 1.5)], "frame_id int, x float, y float, z float")
+    got = octree.locate(points, leaves, roots, OctreeConfig(max_depth=3)).collect()
+    assert {r.y: (r.leaf_depth, r.leaf_path) for r in got} == {2.0: (2, 8), 3.5: (1, 0), 5.0: (None, None)}
