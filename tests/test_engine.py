@@ -295,3 +295,33 @@ def test_a_point_on_a_cut_finer_than_a_leaf(spark):
     points = spark.createDataFrame([(0, 4.0, 2.0, 1.5), (0, 4.0, 3.5, 1.5), (0, 4.0, 5.0, 1.5)], "frame_id int, x float, y float, z float")
     got = octree.locate(points, leaves, roots, OctreeConfig(max_depth=3)).collect()
     assert {r.y: (r.leaf_depth, r.leaf_path) for r in got} == {2.0: (2, 8), 3.5: (1, 0), 5.0: (None, None)}
+
+
+def test_lines_past_blocked_leaves(spark):
+    rng = np.random.default_rng(3)
+    at, half = rng.normal(0, 1.2, (400, 3)), rng.choice([0.02, 0.05, 0.1, 0.9], 400, p=[0.5, 0.3, 0.19, 0.01])
+    rows = [(0, i, 1 if i % 2 else 0, 0.1, *[float(v) for v in at[i]], *[float(v) for v in at[i] - half[i]], *[float(v) for v in at[i] + half[i]]) for i in range(400)]
+    leaves = spark.createDataFrame(rows, "frame_id int, leaf_id long, label int, probability float, cx double, cy double, cz double, min_x float, min_y float, min_z float, max_x float, max_y float, max_z float")
+    pairs = [(i, j) for i in range(0, 400, 3) for j in range(0, 400, 8) if i != j]
+    edges = spark.createDataFrame([(0, i, j, *[float(v) for v in (*at[i], *at[j])]) for i, j in pairs], "frame_id int, src_leaf_id long, dst_leaf_id long, src_cx double, src_cy double, src_cz double, dst_cx double, dst_cy double, dst_cz double")
+    cfg = PlannerConfig()
+    box = {r.leaf_id: r for r in graph.obstacles(leaves, cfg).collect()}
+    widest = max(r.planar_radius for r in box.values())
+
+    def hit(i, j):
+        s, t = at[i], at[j]
+        for o, r in box.items():
+            low, high = (np.floor((f(s, t)[:2] + w) / cfg.obstacle_cell) for f, w in ((np.minimum, -widest), (np.maximum, widest)))
+            if o in (i, j) or (np.array([r.cell_x, r.cell_y]) < low).any() or (np.array([r.cell_x, r.cell_y]) > high).any():
+                continue
+            u = min(1.0, max(0.0, (at[o] - s) @ (t - s) / ((t - s) @ (t - s))))
+            if np.linalg.norm(at[o] - s - u * (t - s)) <= r.radius + cfg.edge_obstacle_clearance_radius:
+                return True
+        return False
+
+    short = [p for p in pairs if np.linalg.norm(at[p[0]] - at[p[1]]) < 1.25][:300]
+    far = [p for p in pairs if np.linalg.norm(at[p[0]] - at[p[1]]) >= 1.25][:300]
+    for some, longest in ((short, 1.25), (short + far, None)):
+        asked = edges.join(spark.createDataFrame(some, "src_leaf_id long, dst_leaf_id long"), ["src_leaf_id", "dst_leaf_id"])
+        got = {(r.src_leaf_id, r.dst_leaf_id) for r in graph.blocked_segments(asked, leaves, cfg, longest).collect()}
+        assert got == {p for p in some if hit(*p)} and 0 < len(got) < len(some)
