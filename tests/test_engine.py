@@ -325,3 +325,25 @@ def test_lines_past_blocked_leaves(spark):
         asked = edges.join(spark.createDataFrame(some, "src_leaf_id long, dst_leaf_id long"), ["src_leaf_id", "dst_leaf_id"])
         got = {(r.src_leaf_id, r.dst_leaf_id) for r in graph.blocked_segments(asked, leaves, cfg, longest).collect()}
         assert got == {p for p in some if hit(*p)} and 0 < len(got) < len(some)
+
+
+def test_a_listing_is_numbered_without_the_driver(spark):
+    names = [f"data/{('', 'train_', 'predicted_')[i % 3]}leaves{i % 50:03d}{('.csv', '.txt')[i % 4 == 0]}" for i in range(700)]
+    df = spark.createDataFrame([(n,) for n in [*names, None]], "name string")
+    training = df.where(F.col("name").endswith("3.csv"))
+    want = files.prediction_files(names, [n for n in names if n.endswith("3.csv")])
+    got = files.prediction_listing(df, training).collect()
+    assert sorted((r.at, r.name) for r in got) == list(enumerate(want)) and len(want) > len(set(want))
+
+
+def test_stair_edges_are_judged_where_they_are_found(spark):
+    rng = np.random.default_rng(5)
+    kinds = "frame_id int, leaf_id long, label int, probability float, is_cross_floor boolean, room_id int, entity_id long, dynamic boolean, depth int, " + ", ".join(f"{s}_{a} float" for s in ("min", "max") for a in "xyz") + ", cx double, cy double, cz double"
+    at = rng.uniform(0, 2.5, (250, 3))
+    rows = [(0, i, (0, 2, 0, 1)[i % 4], 0.1, i % 4 == 1, 0, i % 3, False, 3, *[float(v) - 0.1 for v in at[i]], *[float(v) + 0.1 for v in at[i]], *[float(v) for v in at[i]]) for i in range(250)]
+    leaves, plan = spark.createDataFrame(rows, kinds), PlannerConfig(stair_direction_dot_min=0.1)
+    components = graph.stair_components(leaves, plan)
+    by_leaf = graph.staircases(components, graph.component_stats(leaves, components, plan))
+    want = graph.with_staircase(graph.stair_edges(leaves, plan), by_leaf).where(graph.allowed_transition(plan))
+    got, want = ({(r.src_leaf_id, r.dst_leaf_id): (r.src_label, r.dst_label) for r in df.collect()} for df in (graph.walkable_stair_edges(leaves, by_leaf, plan), want))
+    assert got == want and {(0, 2), (2, 0), (2, 2)} == set(got.values())
