@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators.features import FEATURE_COLUMNS
 from ..operators.forest import FOREST_SCHEMA, read_text, write_text
+from ..operators.ingest import numbered
 from ..operators.report import MEASURES, nested
 
 INTEGERS = {"node_index", "entity_id", "num_points", "depth", "story_index", "is_near_floor", "is_near_ceiling", "morton_low_8bits", "label"}
@@ -53,6 +54,14 @@ def prediction_files(names: list[str], training: list[str], explicit: list[str]
     return sorted(n for n in names if n.endswith(".csv") and n not in training and not is_training(n) and not os.path.basename(n).startswith("predicted_"))
 
 
+def prediction_listing(names: DataFrame, training: DataFrame) -> DataFrame:
+    """prediction_files() of tables (name), numbered from 0 in order (at, name): no task and no driver holds all names."""
+    base = F.regexp_extract("name", r"([^/]*)$", 1)
+    known = training.select(F.col("name").alias("name")).distinct()
+    wanted = names.select("name").where(F.col("name").endswith(".csv") & ~base.startswith("train_") & ~base.startswith("predicted_"))
+    return numbered(wanted.join(known, "name", "left_anti"), ["name"], name="at").select("at", "name")
+
+
 def feature_text(features: DataFrame) -> DataFrame:
     """Feature rows as a feature file has them: columns in order, numbers with six decimals, the Morton code unsigned."""
     from ..functions.geometry import unsigned
