@@ -347,3 +347,19 @@ def test_stair_edges_are_judged_where_they_are_found(spark):
     want = graph.with_staircase(graph.stair_edges(leaves, plan), by_leaf).where(graph.allowed_transition(plan))
     got, want = ({(r.src_leaf_id, r.dst_leaf_id): (r.src_label, r.dst_label) for r in df.collect()} for df in (graph.walkable_stair_edges(leaves, by_leaf, plan), want))
     assert got == want and {(0, 2), (2, 0), (2, 2)} == set(got.values())
+
+
+def _random_graph():
+    rng = np.random.default_rng(2)
+    return {a: [(int(b), float(c)) for b, c in zip(rng.integers(0, 60, 3), rng.uniform(0.1, 2, 3), strict=True)] for a in range(50)}
+
+
+def test_one_search_without_estimate_serves_all_goals(monkeypatch):
+    out, calls, search = _random_graph(), [], graph._search
+    for most in (200_000, 20):
+        want = {(s, g): search(s, g, out, lambda _: 0.0, most) for s in (0, 55) for g in range(62)}
+        monkeypatch.setattr(graph, "_search", lambda *a: calls.append(a[:2]) or search(*a))
+        searches = graph._Searches(out, PlannerConfig(heuristic_weight=0.0, max_expansions=most))
+        assert {k: searches.path(*k, lambda _: 0.0) for k in want} == want
+        monkeypatch.setattr(graph, "_search", search)
+    assert len(calls) == 2 * 4  # for each start, once for all goals and once for itself
