@@ -363,3 +363,10 @@ def test_one_search_without_estimate_serves_all_goals(monkeypatch):
         assert {k: searches.path(*k, lambda _: 0.0) for k in want} == want
         monkeypatch.setattr(graph, "_search", search)
     assert len(calls) == 2 * 4  # for each start, once for all goals and once for itself
+
+
+def test_queries_with_the_same_ends_share_a_search(monkeypatch):
+    out, calls, search = _random_graph(), [], graph._search
+    monkeypatch.setattr(graph, "_search", lambda *a: calls.append(a[:2]) or search(*a))
+    searches = graph._Searches(out, PlannerConfig())
+    assert len({str(searches.path(3, 3, lambda _: 0.0)) for _ in range(50)}) == 1 and calls == [(3, 3)]
