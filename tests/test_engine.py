@@ -370,3 +370,12 @@ def test_queries_with_the_same_ends_share_a_search(monkeypatch):
     monkeypatch.setattr(graph, "_search", lambda *a: calls.append(a[:2]) or search(*a))
     searches = graph._Searches(out, PlannerConfig())
     assert len({str(searches.path(3, 3, lambda _: 0.0)) for _ in range(50)}) == 1 and calls == [(3, 3)]
+
+
+def test_a_start_that_reaches_too_little_is_searched_once(monkeypatch):
+    out, calls, search = {0: [(1, 1.0)], 1: [(2, 1.0)], 2: [(0, 1.0)]}, [], graph._search
+    want = {g: search(0, g, out, lambda _: 0.5, 200_000) for g in (2, 7, 8, 9, 1)}
+    monkeypatch.setattr(graph, "_search", lambda *a: calls.append(a[:2]) or search(*a))
+    searches = graph._Searches(out, PlannerConfig())
+    assert {g: searches.path(0, g, lambda _: 0.5) for g in want} == want
+    assert calls == [(0, 2), (0, 7), (0, 1)]
