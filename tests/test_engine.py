@@ -379,3 +379,9 @@ def test_a_start_that_reaches_too_little_is_searched_once(monkeypatch):
     searches = graph._Searches(out, PlannerConfig())
     assert {g: searches.path(0, g, lambda _: 0.5) for g in want} == want
     assert calls == [(0, 2), (0, 7), (0, 1)]
+
+
+def test_dealt_cells_are_not_gathered_in_the_driver(spark):
+    sides = [spark.createDataFrame([(0, 1, 0.0, 0.0, 0.0)], f"frame_id int, {e}_leaf_id long, " + ", ".join(f"{e}_c{k} double" for k in "xyz")) for e in ("src", "dst")]
+    plan = graph.within_radius(*sides, 1.0)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
