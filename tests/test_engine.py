@@ -385,3 +385,67 @@ def test_dealt_cells_are_not_gathered_in_the_driver(spark):
     sides = [spark.createDataFrame([(0, 1, 0.0, 0.0, 0.0)], f"frame_id int, {e}_leaf_id long, " + ", ".join(f"{e}_c{k} double" for k in "xyz")) for e in ("src", "dst")]
     plan = graph.within_radius(*sides, 1.0)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_points_meet_leaves_in_blocks(spark):
+    # the cells of a random tree, some of them without a leaf, some wider than a block, and points on their cuts
+    rng = np.random.default_rng(9)
+    cfg, tree = OctreeConfig(max_depth=6), []
+
+    def grow(depth, path):
+        if depth < 6 and rng.random() < (1.0 if depth < 2 else 0.3):
+            for octant in range(8):
+                grow(depth + 1, path * 8 + octant)
+        elif rng.random() < 0.9:
+            low = [sum((path >> 3 * level + axis & 1) << level for level in range(depth)) * 64 / 2**depth for axis in range(3)]
+            tree.append((depth, path, *[float(x + 64 / 2**depth) for x in low]))
+
+    grow(0, 0)
+    frames = [1, 2]
+    leaves = spark.createDataFrame([(f, *r) for f in frames for r in tree if f == 1 or r[0] > 2], "frame_id int, depth int, path long, max_x float, max_y float, max_z float")
+    roots = spark.createDataFrame([(f, *[0.0] * 3, *[64.0] * 3) for f in frames], "frame_id int, " + ", ".join(f"root_{s}_{a} float" for s in ("min", "max") for a in "xyz"))
+    spots = [*rng.integers(0, 65, (300, 3)).astype(float).tolist(), *rng.uniform(0, 64, (300, 3)).astype(np.float32).astype(float).tolist()]
+    points = spark.createDataFrame([(f, i, *p) for f in frames for i, p in enumerate(spots)], "frame_id int, id long, x float, y float, z float")
+    want = {}
+    for f in frames:
+        for i, p in enumerate(spots):
+            held = []
+            for depth, path, *top in tree:
+                wide = 64 / 2**depth
+                if (f == 1 or depth > 2) and all(t - wide <= x <= t for x, t in zip(p, top, strict=True)):
+                    octant = sum((x < t) << k for k, (x, t) in enumerate(zip(p, top, strict=True)))
+                    held.append((-1 if octant == 7 else octant, 8**depth | path))
+            if held:
+                want[f, i] = min(held)[1]
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for rows in ("37", was):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+            assert {(r.frame_id, r.id): r._place for r in octree.holding(points, leaves, roots, cfg, ["frame_id", "id"]).collect()} == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+    # a row for a point that is on no cut, eight at most; a leaf above the blocks lies in those below it
+    sent = octree.dealt(points, leaves, roots, cfg, ["frame_id", "id"])
+    times = {(r.frame_id, r.id): r.n for r in sent.where("_kind = 1").groupBy("frame_id", "id").agg(F.count("id").alias("n")).collect()}
+    assert max(times.values()) == 8 and all(times[f, i] == 1 for f in frames for i in range(300, 600))
+    assert sent.where("_kind = 0 and frame_id = 1").count() == sum(8 ** max(0, octree.HELD_DEPTH - r[0]) for r in tree)
+
+
+def test_tables_that_grow_are_not_gathered_in_the_driver(spark, monkeypatch):
+    from voxspan.functions import components
+
+    plans, write = [], components.written
+
+    def seen(df, tag):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, tag)
+
+    c = cloud(spark, np.random.default_rng(3).uniform(0, 4, (300, 3)).tolist(), label=2, p=0.2, semantic=True)
+    roots, cfg = write(octree.root_bounds(c), "roots"), OctreeConfig()
+    tree = write(graph.with_leaf_id(octree.leaves(c, cfg, roots), cfg), "tree")
+    faces = write(neighbors.face_links(tree, roots, cfg), "faces")
+    monkeypatch.setattr(components, "written", seen)
+    monkeypatch.setattr(graph, "written", seen)
+    edges = graph.graph_edges(tree, faces, PlannerConfig())
+    plans.append(edges._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 4 and not any("BroadcastHashJoin" in p for p in plans)
