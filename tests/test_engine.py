@@ -449,3 +449,11 @@ def test_tables_that_grow_are_not_gathered_in_the_driver(spark, monkeypatch):
     edges = graph.graph_edges(tree, faces, PlannerConfig())
     plans.append(edges._jdf.queryExecution().executedPlan().toString())
     assert len(plans) > 4 and not any("BroadcastHashJoin" in p for p in plans)
+
+
+def test_writing_a_table_lets_the_driver_collect(spark, monkeypatch):
+    from voxspan.functions import components
+
+    calls = []
+    monkeypatch.setattr(components, "release_driver", calls.append)
+    assert components.written(spark.range(3), "three").count() == 3 and calls == [spark]
