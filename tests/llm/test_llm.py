@@ -646,3 +646,11 @@ def brute_exact_lines(texts):
             if sum(((bags[i] - bags[j]) + (bags[j] - bags[i])).values()) <= 4 and edit(lines[i], b) <= 2:
                 gone.add(max(lines[i], b, key=first.get))
     return ["\n".join(x for k, x in enumerate(t.split("\n")) if len(s := x.strip()) < 20 or (s not in gone and first[s] == (i, k))) for i, t in enumerate(texts)]
+
+
+def test_digests_need_no_hashes_of_code_points():
+    lines = linededup.Lines(["　 twelve  words ", "a\n\n  b\t", "\U0001f600 end"])
+    want = ["twelve  words", "a", "", "b", "\U0001f600 end"]
+    assert lines.digests(np.arange(5)).tobytes() == b"".join(linededup.digest(x.encode("utf-32-le")) for x in want)
+    assert "sums" not in vars(lines)
+    assert lines.hashes(lines.start, lines.length).tolist()[1:3] == linededup.Lines(["a", ""]).hashes(np.array([0, 2]), np.array([1, 0])).tolist()

@@ -17,9 +17,11 @@ n_removed, which are replaced; an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +34,9 @@ SEND_ROWS, SEND_BYTES = 500_000, 48_000_000
 
 #: Code points that count as blank.
 _BLANKS = np.array([9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000], np.uint32)
+_BLANK_TEXT = "".join(map(chr, _BLANKS.tolist()))
+_SOLID = np.ones(int(_BLANKS.max()) + 2, bool)  # by code point; all after the last blank are like the one after it
+_SOLID[_BLANKS] = False
 _G = int(random_odd(1, 601)[0])
 _G_INVERSE = pow(_G, -1, 1 << 64)
 
@@ -45,15 +50,21 @@ def _powers(base: int, n: int) -> np.ndarray:
 _tables = [_powers(_G, 1 << 16), _powers(_G_INVERSE, 1 << 16)]
 
 
+def digest(points: bytes) -> bytes:
+    """Of a line as UTF-32."""
+    return hashlib.blake2b(points, digest_size=16).digest()
+
+
 class Lines:
     """The lines of some texts, as spans of one array of code points."""
 
     def __init__(self, texts: list[str]):
-        self.points = np.frombuffer("\n".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        self.raw = "\n".join(texts).encode("utf-32-le", "surrogatepass")
+        self.points = np.frombuffer(self.raw, np.uint32)
         cuts = np.flatnonzero(self.points == 10)
         self.per_text = np.array([t.count("\n") + 1 for t in texts])
         begin, end = np.concatenate([[0], cuts + 1]), np.append(cuts, len(self.points))
-        solid = np.flatnonzero(~np.isin(self.points, _BLANKS))
+        solid = np.flatnonzero(_SOLID[np.minimum(self.points, len(_SOLID) - 1)])
         lo, hi = np.searchsorted(solid, begin), np.searchsorted(solid, end)
         some = hi > lo
         self.start = begin.copy()
@@ -61,10 +72,14 @@ class Lines:
         self.length = np.zeros(len(begin), np.int64)
         self.length[some] = solid[hi[some] - 1] + 1 - self.start[some]
         self.number = np.arange(len(begin)) - np.repeat(np.cumsum(self.per_text) - self.per_text, self.per_text)
+
+    @cached_property
+    def sums(self) -> np.ndarray:
+        """What hashes() takes differences of; digests need none."""
         if len(self.points) >= len(_tables[0]):
             _tables[:] = [_powers(_G, 2 * len(self.points)), _powers(_G_INVERSE, 2 * len(self.points))]
         terms = mixed(self.points.astype(U64) + U64(0x51ED27)) * _tables[0][: len(self.points)]
-        self.sums = np.concatenate([[U64(0)], np.cumsum(terms, dtype=U64)])
+        return np.concatenate([[U64(0)], np.cumsum(terms, dtype=U64)])
 
     def hashes(self, start: np.ndarray, length: np.ndarray | int) -> np.ndarray:
         """Hash of the code points at each span; equal wherever it stands. For candidates only: different spans may share it."""
@@ -72,8 +87,9 @@ class Lines:
 
     def digests(self, own) -> np.ndarray:
         """(lines, 2) longs of a cryptographic digest of each line."""
-        spans = zip(self.start[own].tolist(), self.length[own].tolist())
-        return np.frombuffer(b"".join(hashlib.blake2b(self.points[s : s + n].tobytes(), digest_size=16).digest() for s, n in spans), "<i8").reshape(-1, 2)
+        start = 4 * self.start[own]
+        spans = zip(start.tolist(), (start + 4 * self.length[own]).tolist())
+        return np.frombuffer(b"".join([digest(self.raw[s:e]) for s, e in spans]), "<i8").reshape(-1, 2)
 
     def said(self, own) -> list[str]:
         return [self.points[s : s + n].tobytes().decode("utf-32-le", "surrogatepass") for s, n in zip(self.start[own].tolist(), self.length[own].tolist())]
@@ -193,14 +209,14 @@ def posted(classes: DataFrame, tau: int, probes: bool) -> DataFrame:
     return classes.select("h", "keys").mapInArrow(run, "key long, h long")
 
 
-def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """h, g, line text of the wanted digests (h)."""
+def _texts_of(docs: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
+    """h, g, line text of the wanted digests (h), of lines of `least` code points or more."""
 
     def run(batches):
         for batch in batches:
             for _, texts in text_slices(batch, 0, 500_000):
                 lines = Lines(texts)
-                own = np.flatnonzero(lines.length > 0)
+                own = np.flatnonzero(lines.length >= least)
                 h = lines.digests(own)
                 _, at = np.unique(h[:, 0] ^ h[:, 1] << 1, return_index=True) if len(own) else (None, own)
                 yield pa.RecordBatch.from_arrays([pa.array(h[at, 0]), pa.array(h[at, 1]), pa.array(lines.said(own[at]), pa.string())], names=["h", "g", "said"])
@@ -236,10 +252,11 @@ def later_of(said: list[str], posts: np.ndarray, side: np.ndarray | None, tau: i
             goes[b[within([said[x] for x in a], [said[x] for x in b], tau)]] = True
 
 
-def near_lines(docs: DataFrame, classes: DataFrame, tau: int) -> DataFrame:
+def near_lines(docs: DataFrame, classes: DataFrame, tau: int, least: int = 1) -> DataFrame:
     """h, g of the distinct lines that have a line within tau whose first occurrence is earlier.
 
     Keys that one line alone has are left out first. Candidates are known by h; texts and results by h and g.
+    least: how many code points each line has at least.
     """
     post, probe = posted(classes, tau, False), posted(classes, tau, True)
     other = post.select(F.col("key").alias("own"), F.col("h").alias("its")).hint("shuffle_hash")
@@ -250,7 +267,7 @@ def near_lines(docs: DataFrame, classes: DataFrame, tau: int) -> DataFrame:
     met = staged(met.groupBy("key", "h").agg(F.max("post").alias("post")), "lines-meeting")
     wanted = met.select("h").distinct()
     first = classes.select("h", "g", "first.*")
-    said = staged(_texts_of(docs, wanted).join(first, ["h", "g"]), "lines-said")
+    said = staged(_texts_of(docs, wanted, least).join(first, ["h", "g"]), "lines-said")
     crowd = met.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     met = met.join(crowd, "key")
     return few_lines(met, said, tau).union(many_lines(met, said, tau)).distinct()
@@ -296,7 +313,7 @@ def removed_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -
     """doc_id, t, line, h, g of every line that goes."""
     lines = staged(line_rows(docs, tau, min_chars), "lines")
     classes = staged(lines.groupBy("h", "g").agg(F.min(F.struct("doc_id", "t", "line")).alias("first"), F.count(F.lit(1)).alias("times"), F.max("keys").alias("keys")), "lines-classes")
-    later = near_lines(docs, classes, tau).withColumn("goes", F.lit(True))
+    later = near_lines(docs, classes, tau, max(min_chars, tau + 1)).withColumn("goes", F.lit(True))
     touched = classes.select("h", "g", "first", "times").join(later, ["h", "g"], "left").where("times > 1 or goes")
     touched = staged(touched, "lines-touched")
     found = lines.select("doc_id", "t", "line", "h", "g").join(F.broadcast(touched) if touched.count() <= SEND_ROWS else touched, ["h", "g"])
@@ -318,19 +335,21 @@ def dedup_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) ->
 
     def run(batches):
         for batch in batches:
-            texts, lists = batch.column(text_at).to_pylist(), batch.column(gone_at).to_pylist()
-            n, r = [], []
-            for k, (t, g) in enumerate(zip(texts, lists, strict=True)):
-                n.append(0 if t is None else t.count("\n") + 1)
-                r.append(0)
-                if t and g:
-                    lines = Lines([t])
-                    listed = np.array([x["line"] for x in g if x["line"] < len(lines.start)], np.int64)
-                    own = dict(zip(listed.tolist(), map(tuple, lines.digests(listed).tolist())))
-                    drop = {x["line"] for x in g if own.get(x["line"]) == (x["h"], x["g"])}
-                    texts[k] = "\n".join(x for i, x in enumerate(t.split("\n")) if i not in drop)
-                    r[-1] = len(drop)
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in passed] + [pa.array(texts, pa.string()), pa.array(n, pa.int32()), pa.array(r, pa.int32())], names=[names[i] for i in passed] + ["text", "n_lines", "n_removed"])
+            texts, lists = batch.column(text_at), batch.column(gone_at)
+            n = pc.add(pc.fill_null(pc.count_substring(texts, "\n"), -1), 1).cast(pa.int32())
+            listed, ends = lists.values, lists.offsets.to_numpy()
+            line, said = listed.field("line").to_numpy(), np.stack([listed.field(c).to_numpy() for c in "hg"], 1).astype("<i8").tobytes()
+            r, hit, left = np.zeros(len(texts), np.int32), np.zeros(len(texts), bool), []
+            for k in np.flatnonzero(pc.and_(lists.is_valid(), texts.is_valid()).to_numpy(zero_copy_only=False)).tolist():
+                parts = texts[k].as_py().split("\n")
+                at = range(ends[k], ends[k + 1])
+                drop = {i for i, j in zip(line[ends[k] : ends[k + 1]].tolist(), at) if i < len(parts) and digest(parts[i].strip(_BLANK_TEXT).encode("utf-32-le", "surrogatepass")) == said[16 * j : 16 * j + 16]}
+                if drop:
+                    r[k], hit[k] = len(drop), True
+                    left.append("\n".join([x for i, x in enumerate(parts) if i not in drop]))
+            if left:
+                texts = pc.replace_with_mask(texts, pa.array(hit), pa.array(left, texts.type))
+            yield pa.RecordBatch.from_arrays([batch.column(i) for i in passed] + [texts, n, pa.array(r)], names=[names[i] for i in passed] + ["text", "n_lines", "n_removed"])
         release()
 
     return joined.withColumn("text", F.col("text").cast("string")).mapInArrow(run, schema)
