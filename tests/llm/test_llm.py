@@ -654,3 +654,30 @@ def test_digests_need_no_hashes_of_code_points():
     assert lines.digests(np.arange(5)).tobytes() == b"".join(linededup.digest(x.encode("utf-32-le")) for x in want)
     assert "sums" not in vars(lines)
     assert lines.hashes(lines.start, lines.length).tolist()[1:3] == linededup.Lines(["a", ""]).hashes(np.array([0, 2]), np.array([1, 0])).tolist()
+
+
+def test_the_driver_gives_back_what_it_no_longer_needs(monkeypatch):
+    calls, mb = [], {"max": 800, "total": 600, "free": 500}
+
+    class Runtime:
+        maxMemory, totalMemory, freeMemory = (lambda self, k=k: mb[k] for k in ("max", "total", "free"))
+
+        def gc(self):
+            calls.append(mb["free"])
+
+    class Session:
+        class _jvm:
+            class Runtime:
+                getRuntime = staticmethod(lambda: None)
+
+    Session._jvm.Runtime.getRuntime = staticmethod(Runtime)
+    for mb["free"] in (500, 300):
+        common.release_driver(Session)
+    assert calls == [300]
+
+
+def test_executors_collect_their_garbage(spark):
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    before = sum(b.getCollectionCount() for b in beans)
+    common.release_executors(spark)
+    assert sum(b.getCollectionCount() for b in beans) > before
